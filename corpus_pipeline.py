@@ -1,22 +1,51 @@
-"""The training-data pipeline: each stage calls one operator and hands its documents on."""
+"""The training-data pipeline: each stage calls one operator and hands its documents on.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept.  All but the last return the columns of ``documents``; the last returns the
+windows of the packed corpus (see ``threadloom.llm.packing.pack``).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import exact_dedup, shared, toxicity
+from threadloom.llm import decontaminate, exact_dedup, jaccard_join, packing, shared, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = shared.table(spark, sf_dir, "labels")
-    return toxicity.keep_clean(docs, toxicity.train(docs, labels))
+    """Documents whose expected severity is below the limit; the model is fitted on a bounded sample of labels."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, shared.table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text."""
     return exact_dedup.drop_duplicates(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies."""
+    return jaccard_join.drop_near_copies(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontaminate.keep_clean(docs, shared.table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The windows of all documents that are left."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+
+#: SQL can express neither the fitted model nor the partitioning; tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 

@@ -10,3 +10,27 @@ SELECT doc_id, kept_id, n_copies, n_bytes FROM (
     FROM documents WHERE text IS NOT NULL)
 WHERE n_copies > 1
 """
+
+#: Words of the documents, as textcode has them.
+_WORDS = r"""
+words AS (
+    SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+"""
+
+SQL["op10_jaccard_join"] = f"""
+WITH {_WORDS},
+grams AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3
+        THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+        ELSE [array_to_string(ws, ' ')] END) AS gram
+    FROM words WHERE len(ws) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k
+    FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id)
+SELECT doc_a, doc_b, CAST(k AS DOUBLE) / (x.n + y.n - k) AS jaccard
+FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
+WHERE k >= 0.5 * (x.n + y.n - k)
+"""
