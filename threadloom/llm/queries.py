@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard_join, licenses, packing, secrets, shared, toxicity
+from . import decontaminate, exact_dedup, jaccard_join, licenses, packing, quality, secrets, shared, toxicity, warc
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(shared.table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels")
     return toxicity.severity(docs, toxicity.train(docs, labels))
@@ -32,6 +36,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find(shared.table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rank(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.pairs(shared.table(spark, sf_dir, "documents"))
 

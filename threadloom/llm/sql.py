@@ -76,3 +76,8 @@ scored AS (
 SELECT doc_id, license, max(dice) AS dice, CAST(count(*) AS INTEGER) AS n_passages
 FROM scored WHERE dice >= {THRESHOLD} GROUP BY doc_id, license
 """.replace("\\", "\\")
+
+SQL["op5_warc"] = """
+SELECT page_id, url, html, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, 'ok' AS status, true AS verified
+FROM pages WHERE html IS NOT NULL
+"""
