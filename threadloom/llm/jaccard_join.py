@@ -7,7 +7,9 @@ these steps, each over all documents:
    and are joined once.  Of a set, its SAMPLE least hashes are kept (all of a
    smaller set): the least hashes of two sets are a sample of their union.
 2. *Global order.*  Sampled n-grams are ordered by the number of classes that have
-   them, rarest first, then by hash.  Grams of one class only can't match.
+   them, rarest first, then by hash.  Grams of one class only can't match.  From
+   here on a gram is 4 bytes: that two of a pair's grams then look alike by chance
+   is a thousand times rarer than MISS.
 3. *Routing.*  A pair at the threshold shares at least ``need`` sampled grams, so
    the sample of each, in the global order, has a shared gram among its first
    ``size - need + 1``.  Classes are sent, with their ordered samples, to each of
@@ -35,7 +37,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -46,6 +48,11 @@ N, THRESHOLD = 3, 0.5
 #: Grams of a set that route it; share of pairs at the threshold that may be missed.
 SAMPLE, MISS = 64, 0.0005
 
+#: Ids in one list of the members of a class.
+LIST_IDS = 1024
+#: Leading bytes of a gram's hash that stand for it while classes are counted.
+GRAM_BYTES = 6
+
 _CODED = "doc_id long, sig long, n int, sample array<long>"
 
 
@@ -153,7 +160,7 @@ def _candidates(threshold: float, sample: int, miss: float):
         return least(n) if other is None else both(n, other)
 
     def at_gram(first: int, rows: list[tuple[int, int, list[int]]]) -> Iterator[tuple[int, int, int]]:
-        """(sig, sig, least shared gram) of the candidate pairs whose first shared gram this is."""
+        """(class, class, least shared gram) of the candidate pairs whose first shared gram this is."""
         if len(rows) == 2:  # most grams: no tree is needed for a single pair
             (a, n_a, g_a), (b, n_b, g_b) = rows
             if a != b and threshold * max(n_a, n_b) <= min(n_a, n_b) + 1e-9:
@@ -194,32 +201,46 @@ def _grouped(batches: Iterator[pa.RecordBatch], columns: list[int]) -> Iterator[
 
 
 def classes(docs: DataFrame, n: int = N, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, sig, n, sample) of every document that has a word, once per doc_id and set."""
-    return shared.written(_coded(docs, n, sample), "jaccard-sets").dropDuplicates(["doc_id", "sig"])
+    """(doc_id, sig, n, sample) of every row that has a word."""
+    return shared.written(_coded(docs, n, sample), "jaccard-sets")
+
 
+def _representatives(coded: DataFrame) -> DataFrame:
+    """(no, sig, doc_id, n, sample): of every class the document of the least id, and a number.
 
-def _class_pairs(docs: DataFrame, coded: DataFrame, n: int, threshold: float, sample: int, miss: float) -> DataFrame:
-    """(sig_a, sig_b, jaccard) of the pairs of different classes."""
-    reps = coded.groupBy("sig").agg(F.min_by(F.struct("n", "sample"), "doc_id").alias("r"), F.min("doc_id").alias("doc_id"))
-    reps = reps.select("sig", "doc_id", "r.n", "r.sample")
-    grams = reps.select("sig", "n", F.explode("sample").alias("gram"))
-    frequency = grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
+    Only classes of several documents are shuffled; a bitmap tells which rows may
+    belong to one.
+    """
+    several = coded.groupBy("sig").agg(F.count("*").alias("k")).filter("k > 1")
+    marked = shared.with_maybe(coded, shared.key_bits(several, F.col("sig")), F.col("sig"), "__maybe")
+    alone = marked.filter("NOT __maybe").select("sig", "doc_id", "n", "sample")
+    first = marked.filter("__maybe").groupBy("sig").agg(F.min_by(F.struct("doc_id", "n", "sample"), "doc_id").alias("r"))
+    # written once, so the numbers stay; they share most of their bytes, and so shuffle smaller than signatures
+    rows = alone.unionByName(first.select("sig", "r.doc_id", "r.n", "r.sample"))
+    return shared.written(rows.select(F.monotonically_increasing_id().alias("no"), "*"), "jaccard-classes")
+
+
+def _class_pairs(docs: DataFrame, reps: DataFrame, n: int, threshold: float, sample: int, miss: float) -> DataFrame:
+    """(no_a, no_b, jaccard) of the pairs of different classes."""
+    grams = reps.select("no", F.explode("sample").alias("gram")).select("no", F.shiftrightunsigned("gram", 8 * (8 - GRAM_BYTES)).alias("gram"))
+    # one shuffle both counts the classes of a gram and drops the grams of one class
+    held = grams.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).filter("df > 1")
     ordered = (
-        grams.join(frequency, "gram")
-        .groupBy("sig", "n")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("grams"))
+        held.groupBy("no")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: F.hash(x["gram"])).alias("grams"))
+        .join(reps.select("no", "n"), "no")
     )
     exact = F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9))
     fewest = F.when(F.col("n") / threshold <= sample, exact).otherwise(F.least(exact, F.lit(_sample_need(sample, threshold, miss)), F.col("n")))
     # grams of no other class come before these in the order, so they use up the prefix first
     prefix = F.size("grams") - fewest + 1
-    routed = ordered.filter(prefix > 0).select("sig", "n", "grams", F.explode(F.slice("grams", F.lit(1), prefix.cast("int"))).alias("gram"))
-    routed = routed.select("gram", "sig", "n", "grams").repartition("gram").sortWithinPartitions("gram", "sig")
+    routed = ordered.filter(prefix > 0).select("no", "n", "grams", F.explode(F.slice("grams", F.lit(1), prefix.cast("int"))).alias("gram"))
+    routed = routed.select("gram", "no", "n", "grams").repartition("gram").sortWithinPartitions("gram", "no")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_gram = _candidates(threshold, sample, miss)
         out: list[tuple[int, int, int]] = []
-        names = ["sig_a", "sig_b", "meet"]
+        names = ["no_a", "no_b", "meet"]
         for gram, rows in _grouped(batches, [1, 2, 3]):
             if len(rows) > 1:
                 for pair in at_gram(gram, rows):
@@ -230,50 +251,48 @@ def _class_pairs(docs: DataFrame, coded: DataFrame, n: int, threshold: float, sa
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
-    pairs = shared.written(routed.mapInArrow(candidates, "sig_a long, sig_b long, meet long"), "jaccard-candidates")
+    pairs = shared.written(routed.mapInArrow(candidates, "no_a long, no_b long, meet long"), "jaccard-candidates")
     return _verified(docs, reps, pairs, n, threshold)
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The candidate pairs that reach the threshold, by their whole sets."""
+    """The candidate pairs that reach the threshold, by their whole sets.
+
+    The texts travel, not the sets, which are larger; a set is computed where it is compared.
+    """
     asked = (
-        pairs.select("meet", F.col("sig_a").alias("sig"), F.col("sig_b").alias("other"))
-        .unionByName(pairs.select("meet", F.col("sig_b").alias("sig"), F.lit(None).cast("long").alias("other")))
-        .groupBy("sig", "meet")
+        pairs.select("meet", F.col("no_a").alias("no"), F.col("no_b").alias("other"))
+        .unionByName(pairs.select("meet", F.col("no_b").alias("no"), F.lit(None).cast("long").alias("other")))
+        .groupBy("no", "meet")
         .agg(F.collect_list("other").alias("others"))
     )
-    asked = shared.written(asked, "jaccard-asked")
-    wanted = reps.select("sig", "doc_id").join(asked.select("sig").distinct(), "sig", "left_semi")
+    asked = shared.written(asked.join(reps.select("no", "sig", "doc_id"), "no"), "jaccard-asked")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
-    texts = shared.only_maybe(texts, shared.key_bits(wanted, F.col("doc_id")), F.col("doc_id"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in tc.slices(batch.column(1)):
-                grams, off, sig = _sets(batch.column(1).slice(a, b - a), n)
-                raw = grams.astype("<u8").tobytes()
-                sets = [raw[8 * s : 8 * e] for s, e in zip(off[:-1], off[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sig), pa.array(sets, pa.binary())], ["doc_id", "sig", "grams"])
-
-    sets = texts.mapInArrow(whole, "doc_id long, sig long, grams binary").join(wanted, ["doc_id", "sig"], "left_semi").select("sig", "grams")
-    gathered = sets.join(asked, "sig").select("meet", "sig", "grams", "others").repartition("meet").sortWithinPartitions("meet", "sig")
+    texts = shared.only_maybe(texts, shared.key_bits(asked, F.col("doc_id")), F.col("doc_id"))
+    gathered = texts.join(asked, "doc_id").select("meet", "no", "sig", "text", "others").repartition("meet").sortWithinPartitions("meet", "no")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, [1, 2, 3]):
-            held = {sig: np.frombuffer(raw, "<u8") for sig, raw, _ in rows}
+        for _, rows in _grouped(batches, [1, 2, 3, 4]):
+            held: dict[int, np.ndarray] = {}
+            column = pa.array([r[2] for r in rows], pa.string())
+            for a, b in tc.slices(column):
+                grams, off, sig = _sets(column.slice(a, b - a), n)
+                for k in range(b - a):
+                    if sig[k] == rows[a + k][1]:  # another row of the same doc_id may have another text
+                        held[rows[a + k][0]] = grams[off[k] : off[k + 1]]
             out = []
-            for sig, others in {sig: others for sig, _, others in rows}.items():
-                a = held[sig]
+            for no, others in {no: others for no, _, _, others in rows}.items():
+                a = held[no]
                 for other in others:
                     b = held[other]
                     at = np.searchsorted(a, b)
                     same = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-                    out.append((sig, other, same / (len(a) + len(b) - same)))
+                    out.append((no, other, same / (len(a) + len(b) - same)))
             if out:
                 a, b, j = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j)], ["sig_a", "sig_b", "jaccard"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j)], ["no_a", "no_b", "jaccard"])
 
-    return gathered.mapInArrow(compare, "sig_a long, sig_b long, jaccard double").filter(F.col("jaccard") >= threshold - 1e-12)
+    return gathered.mapInArrow(compare, "no_a long, no_b long, jaccard double").filter(F.col("jaccard") >= threshold - 1e-12)
 
 
 def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sample: int = SAMPLE, miss: float = MISS) -> DataFrame:
@@ -284,16 +303,31 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sample: int
     rows of one doc_id never pair with one another; other columns are ignored.
     """
     coded = classes(docs, n, sample)
-    found = shared.written(_class_pairs(docs, coded, n, threshold, sample, miss), "jaccard-pairs")
-    member = coded.select("doc_id", "sig")
-    one, two = member.select(F.col("doc_id").alias("x"), F.col("sig").alias("sig_a")), member.select(F.col("doc_id").alias("y"), F.col("sig").alias("sig_b"))
-    within = member.alias("p").join(member.alias("q"), "sig").filter("p.doc_id < q.doc_id").select(F.col("p.doc_id").alias("x"), F.col("q.doc_id").alias("y"), F.lit(1.0).alias("jaccard"))
-    across = found.join(one, "sig_a").join(two, "sig_b").select("x", "y", "jaccard")
-    return (
-        within.unionByName(across)
-        .filter("x <> y")
-        .select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    )
+    reps = _representatives(coded)
+    found = shared.written(_class_pairs(docs, reps, n, threshold, sample, miss), "jaccard-pairs")
+    member = _members(coded)
+    numbered = member.join(reps.select("sig", "no"), "sig")
+    one, two = numbered.select(F.col("no").alias("no_a"), F.col("ids").alias("x")), numbered.select(F.col("no").alias("no_b"), F.col("ids").alias("y"))
+    several = coded.groupBy("sig").agg(F.count("*").alias("k")).filter("k > 1").select("sig")
+    copies = member.join(several, "sig")
+    within = copies.select("sig", F.col("ids").alias("x")).join(copies.select("sig", F.col("ids").alias("y")), "sig")
+    within = within.select("x", "y", F.lit(1.0).alias("jaccard"))
+    across = found.join(one, "no_a").join(two, "no_b").select("x", "y", "jaccard")
+
+    def spread(lists: DataFrame) -> DataFrame:
+        # members travel as lists, so that what is shuffled doesn't grow with the number of pairs
+        return lists.select(F.explode("x").alias("x"), "y", "jaccard").select("x", F.explode("y").alias("y"), "jaccard")
+
+    ordered = spread(across).filter("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    return spread(within).filter("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), "jaccard").unionByName(ordered)
+
+
+def _members(coded: DataFrame) -> DataFrame:
+    """(sig, ids): the documents of every class, in lists of about LIST_IDS at most."""
+    ids = coded.select("sig", "doc_id").distinct()
+    sizes = ids.groupBy("sig").agg(F.count("*").alias("k")).filter(F.col("k") > LIST_IDS)
+    part = F.pmod(F.xxhash64("doc_id"), F.coalesce(F.ceil(F.col("k") / LIST_IDS), F.lit(1)))
+    return ids.join(sizes, "sig", "left").groupBy("sig", part.alias("part")).agg(F.collect_list("doc_id").alias("ids")).select("sig", "ids")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -326,11 +360,10 @@ def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     stay or go together.
     """
     coded = classes(docs, n, sample)
-    found = shared.written(_class_pairs(docs, coded, n, threshold, sample, miss), "jaccard-pairs")
-    first = coded.groupBy("sig").agg(F.min("doc_id").alias("least"))
-    edges = found.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"))
-    grouped = components(edges).withColumnRenamed("node", "sig")
-    root = first.join(grouped, "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
-    keeper = root.groupBy("root").agg(F.min("least").alias("kept_id"))
+    reps = _representatives(coded)
+    found = shared.written(_class_pairs(docs, reps, n, threshold, sample, miss), "jaccard-pairs")
+    grouped = components(found.select(F.col("no_a").alias("a"), F.col("no_b").alias("b"))).withColumnRenamed("node", "no")
+    root = reps.select("no", "sig", "doc_id").join(grouped, "no", "left").select("sig", "doc_id", F.coalesce("root", "no").alias("root"))
+    keeper = root.groupBy("root").agg(F.min("doc_id").alias("kept_id"))
     gone = coded.select("doc_id", "sig").join(root.join(keeper, "root").select("sig", "kept_id"), "sig").filter("doc_id <> kept_id").select("doc_id")
     return shared.without_ids(docs, shared.written(gone.distinct(), "near-copies"))
