@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _V = "aeiouy"
@@ -114,7 +115,11 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf("string")
-def stem_column(labels: pd.Series) -> pd.Series:
-    """Stems of whole labels; used on distinct labels only."""
-    return labels.map(lambda s: None if s is None else stem(s))
+def stem_column(label: Column) -> Column:
+    """Stems of whole labels; for distinct labels, since it leaves the JVM."""
+
+    @F.pandas_udf("string")
+    def run(labels: pd.Series) -> pd.Series:
+        return labels.map(lambda s: None if s is None else stem(s))
+
+    return run(label)

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 def merged(spans: DataFrame) -> DataFrame:
     """(doc_id, context_start, context_end): overlapping or touching spans of a document joined, each with its number of spans."""
+    # equal spans are counted first, so that the order within a document is total
+    distinct = spans.groupBy("doc_id", "context_start", "context_end").agg(F.count("*").alias("__n"))
     order = Window.partitionBy("doc_id").orderBy("context_start", "context_end")
     before = F.max("context_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.withColumn("__new", F.when(before >= F.col("context_start"), 0).otherwise(1))
+    opened = distinct.withColumn("__new", F.when(before >= F.col("context_start"), 0).otherwise(1))
     island = opened.withColumn("__island", F.sum("__new").over(order))
-    return island.groupBy("doc_id", "__island").agg(F.min("context_start").alias("context_start"), F.max("context_end").alias("context_end"), F.count("*").alias("n_spans")).drop("__island")
+    return island.groupBy("doc_id", "__island").agg(F.min("context_start").alias("context_start"), F.max("context_end").alias("context_end"), F.sum("__n").alias("n_spans")).drop("__island")
 
 
 def with_text(spans: DataFrame, docs: DataFrame) -> DataFrame:

@@ -50,8 +50,10 @@ def induced(nodes: DataFrame, rows: DataFrame, ids: DataFrame, f: GraphFilter, c
     inner = passing.join(ends.select(F.col("id").alias("source")), "source", "left_semi").join(ends.select(F.col("id").alias("target")), "target", "left_semi")
     found = group_relations(inner) if relations else plain_edges(inner)
     if f.limit_edges:
-        touched = (F.col("source").isin(*focus).cast("int") + F.col("target").isin(*focus).cast("int")) if focus else F.lit(0)
-        found = found.orderBy(F.desc(touched), F.desc("total_frequency"), "source", "target").limit(f.limit_edges)
+        order = [F.desc("total_frequency"), "source", "target"]
+        if focus:
+            order.insert(0, F.desc(F.col("source").isin(*focus).cast("int") + F.col("target").isin(*focus).cast("int")))
+        found = found.orderBy(*order).limit(f.limit_edges)
     connected = found.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     kept = chosen.join(connected.withColumn("__edge", F.lit(True)), "id", "left").filter("__focus OR __edge")
     return kept.drop("__focus", "__edge"), found

@@ -20,11 +20,12 @@ DOCUMENTS = T.StructType(
     ]
 )
 
-_EMPTY_CATEGORIES = F.create_map().cast("map<string,array<string>>")
-_EMPTY_METADATA = F.create_map().cast("map<string,string>")
 
+def _no_metadata() -> Column:
+    return F.create_map().cast("map<string,string>")
 
-def documents(df: DataFrame, text: str = "text", doc_id: str | None = None, timestamp: str | None = None, ordinal: str | None = None, categories: list[str] | Column | None = None, metadata: list[str] | None = None) -> DataFrame:
+
+def documents(df: DataFrame, text: str = "text", doc_id: str | None = None, timestamp: str | None = None, ordinal: str | None = None, categories: list[str] | Column | None = None, metadata: list[str] | None = None, metadata_map: str | None = None) -> DataFrame:
     """A table of DOCUMENTS from the columns of ``df``.
 
     Integer ids become doc_id; string ids become str_id and doc_id their hash, so
@@ -42,8 +43,8 @@ def documents(df: DataFrame, text: str = "text", doc_id: str | None = None, time
     if isinstance(categories, list):
         cats = category_map({c: F.col(c) if kinds[c].startswith("array") else F.when(F.col(c).isNotNull(), F.array(F.col(c).cast("string"))) for c in categories})
     else:
-        cats = categories if categories is not None else _EMPTY_CATEGORIES
-    meta = F.map_filter(F.create_map(*[x for m in metadata for x in (F.lit(m), F.col(m).cast("string"))]), lambda _, v: v.isNotNull()) if metadata else _EMPTY_METADATA
+        cats = categories if categories is not None else F.create_map().cast("map<string,array<string>>")
+    meta = F.map_filter(F.create_map(*[x for m in metadata for x in (F.lit(m), F.col(m).cast("string"))]), lambda _, v: v.isNotNull()) if metadata else F.col(metadata_map) if metadata_map else _no_metadata()
     return df.select(
         key.alias("doc_id"), F.col(text).cast("string").alias("text"), text_id.alias("str_id"),
         (F.col(timestamp).cast("date") if timestamp else F.lit(None).cast("date")).alias("timestamp"),
@@ -111,10 +112,8 @@ def from_lists(spark: SparkSession, docs: list[str], doc_ids: list | None = None
 def read_jsonl(spark: SparkSession, path: str, schema: str = "text string, id string, timestamp string, timestamp_ordinal int, category string, metadata map<string,string>") -> DataFrame:
     """Documents of JSON lines with a known schema, so that nothing is inferred."""
     df = spark.read.schema(schema).json(path)
-    out = documents(df, "text", "id", "timestamp", "timestamp_ordinal", ["category"])
-    return out if "metadata" not in df.columns else documents(df, "text", "id", "timestamp", "timestamp_ordinal", ["category"]).drop("metadata").join(
-        df.select(F.xxhash64("id").alias("doc_id"), F.coalesce("metadata", _EMPTY_METADATA).alias("metadata")), "doc_id"
-    )
+    out = documents(df.withColumn("__metadata", F.coalesce("metadata", _no_metadata())), "text", "id", "timestamp", "timestamp_ordinal", ["category"], metadata_map="__metadata")
+    return out
 
 
 def epoch_date(seconds: Column) -> Column:
