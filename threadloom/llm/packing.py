@@ -18,6 +18,8 @@ from . import textcode as tc
 CAPACITY = 2048
 #: Mean documents of a shard; each shard is partitioned by itself.
 SHARD_DOCS = 2048
+#: Tasks that shards are spread over at most.
+MAX_TASKS = 20_000
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -147,4 +149,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
     counted = rows.mapInArrow(count, "doc_id long, n long").filter("n > 0")
     counted = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)))
     schema = "window_id long, doc_id long, start_word long, end_word long, n_words long"
-    return counted.groupBy("shard").applyInPandas(spread, schema)
+    # an explicit number of partitions: a shard costs far more time than its few bytes suggest
+    return counted.repartition(min(shards, MAX_TASKS), "shard").groupBy("shard").applyInPandas(spread, schema)
