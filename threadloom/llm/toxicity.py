@@ -22,7 +22,7 @@ TOXIC_GRADES = 2
 REJECT_FROM = 0.3
 #: Strength of the penalty on weights; steps of gradient descent.
 PENALTY, STEPS = 1e-5, 300
-#: Standard errors by which a feature's log odds must differ from 0 to be used.
+#: A feature is used if its likelihood ratio statistic is above the square of this, as a normal deviate.
 SIGNIFICANT = 3.5
 
 
@@ -99,11 +99,17 @@ def grades_of(row: np.ndarray, feature: np.ndarray, toxic: np.ndarray, words: np
 
 
 def significant(row: np.ndarray, feature: np.ndarray, toxic: np.ndarray, size: int, least: float = SIGNIFICANT) -> np.ndarray:
-    """Which features occur in at least 5 rows and at rates that surely differ between the classes."""
-    bad = np.bincount(feature[toxic[row] == 1], minlength=size) + 0.5
-    good = np.bincount(feature[toxic[row] == 0], minlength=size) + 0.5
-    odds = np.log(bad / max(1, int(toxic.sum()))) - np.log(good / max(1, int((toxic == 0).sum())))
-    return (np.abs(odds) > least * np.sqrt(1 / bad + 1 / good)) & (bad + good >= 6)
+    """Which features occur in at least 5 rows and at rates that surely differ between the classes (likelihood ratio)."""
+    bad = np.bincount(feature[toxic[row] == 1], minlength=size).astype(float)
+    good = np.bincount(feature[toxic[row] == 0], minlength=size).astype(float)
+    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
+    rate = (bad + good) / (n_bad + n_good)
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12))
+
+    ratio = 2 * (part(bad, n_bad * rate) + part(good, n_good * rate) + part(n_bad - bad, n_bad * (1 - rate)) + part(n_good - good, n_good * (1 - rate)))
+    return (ratio > least**2) & (bad + good >= 5)
 
 
 def _featurised(labelled: DataFrame) -> DataFrame:
@@ -136,7 +142,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS) -> OrdinalModel:
-    """Fit on the bounded sample; without labels of both classes every score is 0 and nothing is toxic."""
+    """Fit on the bounded sample; without labels of both classes, or terms that tell them apart, every score is 0 and nothing is toxic."""
     got = _featurised(training_rows(docs, labels, max_rows)).toArrow().combine_chunks()
     toxic = got["toxic"].to_numpy().astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
     size = 1 << features.BITS
@@ -148,6 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_RO
     row = np.repeat(np.arange(len(toxic)), lists.value_lengths().to_numpy())
     grade = grades_of(row, feature, toxic, got["words"].to_numpy())
     keep = significant(row, feature, toxic, size)[feature]
+    if not keep.any():
+        return OrdinalModel(np.zeros(size, np.float32), np.array([40.0] * TOXIC_GRADES))
     row, feature, value = row[keep], feature[keep], value[keep]
     return fit_cumulative_link(row, feature, value, grade, size)
 
