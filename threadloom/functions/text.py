@@ -23,17 +23,19 @@ def capitalized_mentions(text: str = "text") -> Column:
     Tokens are parted by white space.  A span starts where its token starts, also
     where leading punctuation was stripped, and has the length of the stripped form.
     """
+    # the text is cut before such tokens only, so the fold has one step for each mention, not for each word
+    start = "[" + STRIPPED + "]*\\\\p{Lu}"
     return F.expr(
         f"""aggregate(
-            regexp_extract_all({text}, '(\\\\s+|\\\\S+)', 1),
+            split({text}, '(?<!\\\\S)(?={start})'),
             named_struct('at', 0, 'out', cast(array() AS {_MENTION})),
-            (acc, t) -> named_struct(
-                'at', acc.at + length(t),
-                'out', if(substr(trim(BOTH '{STRIPPED}' FROM t), 1, 1) RLIKE '^\\\\p{{Lu}}',
+            (acc, p) -> named_struct(
+                'at', acc.at + length(p),
+                'out', if(p RLIKE '^{start}',
                     array_append(acc.out, named_struct(
                         'span_start', acc.at,
-                        'span_end', acc.at + length(trim(BOTH '{STRIPPED}' FROM t)),
-                        'span_text', trim(BOTH '{STRIPPED}' FROM t))),
+                        'span_end', acc.at + length(trim(BOTH '{STRIPPED}' FROM regexp_extract(p, '^\\\\S+', 0))),
+                        'span_text', trim(BOTH '{STRIPPED}' FROM regexp_extract(p, '^\\\\S+', 0)))),
                     acc.out)),
             acc -> acc.out)"""
     )

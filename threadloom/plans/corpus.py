@@ -21,8 +21,14 @@ def dated(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"timestamp": day, "timestamp_ordinal": F.col("doc_id").cast("int")})
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores where its files are too few for that, as one small file is; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dated(table(spark, sf_dir, "documents"))
+    return dated(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
