@@ -178,7 +178,8 @@ class NarrativeModel(CooccurrenceModel):
         ends = lambda: F.coalesce(F.col("ends"), F.array().cast(extract.SPANS))
         base = packed.select("doc_id", ends().alias("mentions"), tx.chunk_bounds("text", self.boundary).alias("chunks"))
         swept = base.select("doc_id", "chunks", tx.mentions_in_chunks().alias("swept"))
-        tuplets = swept.select("doc_id", F.inline(tx.window_pairs(0 if self.window is None else self.window)))
+        pairs = swept.select("doc_id", tx.window_pairs(0 if self.window is None else self.window).alias("__pairs"))
+        tuplets = extract.exploded(pairs, "__pairs", "one_start")
         return {"triplets": found, "mentions": spans, "tuplets": tuplets}
 
     def _aggregate(self) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .extract import Extractor, capitalized
+from .extract import Extractor, capitalized, exploded
 
 
 def _swept(docs: DataFrame, extractor: Extractor, boundary: str) -> DataFrame:
@@ -16,7 +16,7 @@ def _swept(docs: DataFrame, extractor: Extractor, boundary: str) -> DataFrame:
 
 def placed_mentions(docs: DataFrame, extractor: Extractor = capitalized, boundary: str = tx.BOUNDARY) -> DataFrame:
     """(doc_id, chunk, span_start, span_end, span_text) of the mentions fully inside a chunk; a map."""
-    return _swept(docs, extractor, boundary).select("doc_id", F.inline("swept.placed"))
+    return _swept(docs, extractor, boundary).select("doc_id", F.col("swept.placed").alias("__placed")).transform(exploded, "__placed", "span_start")
 
 
 def window_tuplets(docs: DataFrame, window: int | None = 3, extractor: Extractor = capitalized, boundary: str = tx.BOUNDARY) -> DataFrame:
@@ -32,7 +32,8 @@ def window_tuplets(docs: DataFrame, window: int | None = 3, extractor: Extractor
     window = 0 if window is None else window
     if window < 0:
         raise ValueError("window must not be negative")
-    return _swept(docs, extractor, boundary).select("doc_id", F.inline(tx.window_pairs(window)))
+    pairs = _swept(docs, extractor, boundary).select("doc_id", tx.window_pairs(window).alias("__pairs"))
+    return exploded(pairs, "__pairs", "one_start")
 
 
 def document_tuplets(mentions: DataFrame) -> DataFrame:

@@ -63,12 +63,24 @@ def python_extractor(find: Callable[[str], list[tuple[int, int, str]]]) -> Extra
 def mentions(docs: DataFrame, extractor: Extractor = capitalized) -> DataFrame:
     """(doc_id, span_start, span_end, span_text), each span of a document once; a map."""
     spans = F.array_distinct(F.coalesce(extractor(), F.array().cast(SPANS)))
-    return docs.select("doc_id", F.inline(spans))
+    return exploded(docs.select("doc_id", spans.alias("__spans")), "__spans", "span_start")
+
+
+def exploded(df: DataFrame, column: str, key: str) -> DataFrame:
+    """``df`` with an array of structs unfolded into rows; ``key`` is a field that is never null.
+
+    A plain ``inline`` makes the optimizer infer a filter on the array's size, which
+    it then pushes below the projections with a copy of all that the array is
+    computed from.  The outer form has none; the filter here is on the rows.
+    """
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.inline_outer(column)).filter(F.col(key).isNotNull())
 
 
 def chunks(docs: DataFrame, boundary: str = tx.BOUNDARY) -> DataFrame:
     """(doc_id, chunk, chunk_start, chunk_end) by a boundary pattern; a map."""
-    return docs.select("doc_id", F.posexplode(tx.chunk_bounds("text", boundary)).alias("chunk", "c")).select("doc_id", "chunk", "c.*")
+    bounds = docs.select("doc_id", tx.chunk_bounds("text", boundary).alias("cs"))
+    return bounds.select("doc_id", F.posexplode_outer("cs").alias("chunk", "c")).filter("c IS NOT NULL").select("doc_id", "chunk", "c.*")
 
 
 #: Sentence ends followed by white space, and paragraph breaks.
@@ -191,7 +203,7 @@ def adjacent_triplets(docs: DataFrame, extractor: Extractor = capitalized, bound
         """filter(transform(swept.placed, (m, i) -> named_struct('m', m, 'n', get(swept.placed, i + 1))), p -> p.n.chunk = p.m.chunk)"""
     )
     between = F.expr("substring(text, p.m.span_end + 1, p.n.span_start - p.m.span_end)")
-    found = swept.select("doc_id", "text", F.explode(pairs).alias("p")).withColumn("between", F.regexp_replace(between, r"^\s+|\s+$", ""))
+    found = swept.select("doc_id", "text", F.explode_outer(pairs).alias("p")).filter("p IS NOT NULL").withColumn("between", F.regexp_replace(between, r"^\s+|\s+$", ""))
     tokens = F.size(F.filter(F.split("between", r"\s+"), lambda w: w != ""))
     # what follows a mention may begin with punctuation that was stripped from its token
     return (
