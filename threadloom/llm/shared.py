@@ -13,7 +13,11 @@ FILTER_BITS = 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts in fewer partitions than there are cores, as in one small file, are spread over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = {"documents": "doc_id", "pages": "page_id"}.get(name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if key and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
