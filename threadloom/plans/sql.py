@@ -23,7 +23,7 @@ PLACED = """inside AS (SELECT m.*, c.chunk FROM mentions m JOIN chunks c ON m.do
 
 def tuplets(window: int = 3) -> str:
     return f"""lasts AS (SELECT doc_id, max(chunk) AS last FROM chunks GROUP BY doc_id),
-tuplets AS (
+tuplets AS MATERIALIZED (
     SELECT a.doc_id, a.s AS s1, a.e AS e1, a.label AS l1, b.s AS s2, b.e AS e2, b.label AS l2, f.cs, g.ce, least(a.label, b.label) AS one, greatest(a.label, b.label) AS two
     FROM inside a JOIN inside b ON a.doc_id = b.doc_id AND ((a.chunk = b.chunk AND b.s > a.s) OR (b.chunk > a.chunk AND b.chunk <= a.chunk + {window}))
     JOIN lasts z ON z.doc_id = a.doc_id JOIN chunks f ON f.doc_id = a.doc_id AND f.chunk = a.chunk
