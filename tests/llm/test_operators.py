@@ -190,6 +190,17 @@ def test_disclosure_against_brute_force(spark):
     assert all(abs(found[w] - want[w]) < 1e-9 for w in found)
 
 
+def test_entities_of_one_or_two_contexts_disclose_too(spark):
+    rows = [(1, f"{prose(1, 12)} quillfeather wrote to once@mail.example.com about {prose(2, 12)}")]
+    rows += [(2 + i, f"{prose(3 + i, 12)} ravenscombe wrote to twice@mail.example.com about {prose(5 + i, 12)}") for i in range(2)]
+    rows += [(9, "wrote to about " * 200 + prose(7, 60_000))]
+    out = {r["doc_id"]: r for r in pii.sanitise(table(spark, rows)).collect()}
+    assert out[1]["text"] == rows[0][1].replace("quillfeather", "[TERM]").replace("once@mail.example.com", "[EMAIL]")
+    assert [(out[i]["n_generalised"], out[i]["n_removed"]) for i in (1, 2, 3, 9)] == [(1, 0), (1, 0), (1, 0), (0, 0)]
+    assert all(out[i]["text"] == rows[i - 1][1].replace("ravenscombe", "[TERM]").replace("twice@mail.example.com", "[EMAIL]") for i in (2, 3))
+    assert out[9]["text"] == rows[3][1]
+
+
 # 3
 
 def test_differencing_is_near_the_best_split():

@@ -10,8 +10,10 @@ occur in the corpus.
 All probabilities come from the whole corpus: p(c | t) is the number of distinct
 contexts of c that hold t by the number of all occurrences of t, and p(c) the share
 of the corpus's words that lie in contexts of c.  A context is the WINDOW words on
-either side of an occurrence; equal contexts (of copied documents) count once, and
-an entity and a term must share MIN_SUPPORT of them.
+either side of an occurrence; equal contexts (of copied documents) count once.
+Every entity and every term of its contexts is scored.  A pair that shares fewer
+than SUPPORT contexts gets a lower bound: the contexts that it lacks count as
+occurrences of the term elsewhere.
 """
 
 from __future__ import annotations
@@ -45,7 +47,8 @@ ENTITIES = (
     Rule("IBAN", r"[A-Z]{2}\d{2}[0-9A-Z]{11,30}"),
 )
 
-WINDOW, MIN_SUPPORT = 8, 3
+#: Contexts from which on a pair's share is taken as it is, and the least that an entity and a pair must have to be scored (1: all are).
+WINDOW, SUPPORT, MIN_SUPPORT = 8, 3, 1
 GENERALISE_FROM, REMOVE_FROM = 0.85, 0.95
 #: What a disclosing term is generalised to.
 GENERAL = "[TERM]"
@@ -143,7 +146,10 @@ def _slices(terms: DataFrame, size: int) -> Iterator[np.ndarray]:
 
 
 def disclosure(docs: DataFrame, rules: tuple[Rule, ...] = ENTITIES, window: int = WINDOW, min_support: int = MIN_SUPPORT, least: float = GENERALISE_FROM, slice_terms: int = SLICE_TERMS) -> DataFrame:
-    """(term, score): the terms whose greatest disclosure of any entity is at least ``least``."""
+    """(term, score): the terms whose greatest disclosure of any entity is at least ``least``.
+
+    With ``min_support`` above 1, entities and pairs of fewer contexts are left out.
+    """
     ctx = shared.written(contexts(docs, rules, window), "pii-contexts").dropDuplicates(["entity", "context"])
     known = ctx.groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= min_support)
     pairs = ctx.join(known, "entity").select("entity", "n_c", F.explode("terms").alias("term")).groupBy("entity", "n_c", "term").agg(F.count("*").alias("n_ct"))
@@ -159,7 +165,8 @@ def disclosure(docs: DataFrame, rules: tuple[Rule, ...] = ENTITIES, window: int
     counts = shared.written(counts, "pii-counts")
     total = counts.filter("term IS NULL").agg(F.max("n").alias("words"))
     p_c = F.least(F.lit(1.0), F.col("n_c") * F.lit(2 * window) / F.col("words"))
-    p_ct = F.least(F.lit(1.0), F.col("n_ct") / F.col("n"))
+    lacking = F.greatest(F.lit(0), F.lit(SUPPORT) - F.col("n_ct"))
+    p_ct = F.least(F.lit(1.0), F.col("n_ct") / (F.col("n") + lacking))
     score = F.when(p_c >= 1.0, F.lit(0.0)).otherwise(1 - F.ln(p_ct) / F.ln(p_c))
     # total is one row
     scored = pairs.join(counts.filter("term IS NOT NULL"), "term").crossJoin(F.broadcast(total)).select("term", score.alias("score"))
