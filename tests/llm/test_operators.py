@@ -201,6 +201,17 @@ def test_entities_of_one_or_two_contexts_disclose_too(spark):
     assert out[9]["text"] == rows[3][1]
 
 
+def test_copies_of_a_document_leave_its_disclosure(spark):
+    def removed(copies):
+        own = [f"{prose(i, 12)} zanzibarite wrote to jo@mail.example.com about {prose(50 + i, 12)}" for i in range(3)]
+        rows = [*own * copies, "wrote to about " * 300, prose(7, 9000)]
+        out = pii.disclosure(table(spark, list(enumerate(rows))), least=0.9).collect()
+        return {r["term"]: round(r["score"], 9) for r in out}
+
+    term = int(pii._hashes([b"zanzibarite"]).view(np.int64)[0])
+    assert removed(1)[term] == removed(50)[term] == 1.0
+
+
 # 3
 
 def test_differencing_is_near_the_best_split():

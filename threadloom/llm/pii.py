@@ -7,13 +7,13 @@ carries: 1 if t occurs only where c does, 0 if they are independent.  Terms from
 GENERALISE_FROM on are generalised, from REMOVE_FROM on removed, wherever they
 occur in the corpus.
 
-All probabilities come from the whole corpus: p(c | t) is the number of distinct
-contexts of c that hold t by the number of all occurrences of t, and p(c) the share
-of the corpus's words that lie in contexts of c.  A context is the WINDOW words on
-either side of an occurrence; equal contexts (of copied documents) count once.
-Every entity and every term of its contexts is scored.  A pair that shares fewer
-than SUPPORT contexts gets a lower bound: the contexts that it lacks count as
-occurrences of the term elsewhere.
+All probabilities come from the whole corpus, copies included: p(c | t) is the
+number of contexts of c that hold t by the number of all occurrences of t, and p(c)
+the share of the corpus's words that lie in contexts of c.  A context is the WINDOW
+words on either side of an occurrence.  Every entity and every term of its contexts
+is scored.  Equal contexts (of copied documents) are support only once; a pair that
+shares fewer than SUPPORT distinct contexts gets a lower bound: those that it lacks
+count as occurrences of the term elsewhere, copied as often as those that it has.
 """
 
 from __future__ import annotations
@@ -150,10 +150,11 @@ def disclosure(docs: DataFrame, rules: tuple[Rule, ...] = ENTITIES, window: int
 
     With ``min_support`` above 1, entities and pairs of fewer contexts are left out.
     """
-    ctx = shared.written(contexts(docs, rules, window), "pii-contexts").dropDuplicates(["entity", "context"])
-    known = ctx.groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= min_support)
-    pairs = ctx.join(known, "entity").select("entity", "n_c", F.explode("terms").alias("term")).groupBy("entity", "n_c", "term").agg(F.count("*").alias("n_ct"))
-    pairs = shared.written(pairs.filter(F.col("n_ct") >= min_support), "pii-pairs")
+    ctx = shared.written(contexts(docs, rules, window), "pii-contexts").groupBy("entity", "context").agg(F.count("*").alias("copies"), F.first("terms").alias("terms"))
+    known = ctx.groupBy("entity").agg(F.sum("copies").alias("n_c"), F.count("*").alias("support")).filter(F.col("support") >= min_support).drop("support")
+    pairs = ctx.join(known, "entity").select("entity", "n_c", "copies", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "n_c", "term").agg(F.sum("copies").alias("n_ct"), F.count("*").alias("support"))
+    pairs = shared.written(pairs.filter(F.col("support") >= min_support), "pii-pairs")
     counts = None
     for terms in _slices(pairs.select("term").distinct(), slice_terms):
         part = occurrences(docs, terms)
@@ -165,7 +166,7 @@ def disclosure(docs: DataFrame, rules: tuple[Rule, ...] = ENTITIES, window: int
     counts = shared.written(counts, "pii-counts")
     total = counts.filter("term IS NULL").agg(F.max("n").alias("words"))
     p_c = F.least(F.lit(1.0), F.col("n_c") * F.lit(2 * window) / F.col("words"))
-    lacking = F.greatest(F.lit(0), F.lit(SUPPORT) - F.col("n_ct"))
+    lacking = F.greatest(F.lit(0), F.lit(SUPPORT) - F.col("support")) * F.col("n_ct") / F.col("support")
     p_ct = F.least(F.lit(1.0), F.col("n_ct") / (F.col("n") + lacking))
     score = F.when(p_c >= 1.0, F.lit(0.0)).otherwise(1 - F.ln(p_ct) / F.ln(p_c))
     # total is one row
