@@ -402,6 +402,16 @@ def test_license_pruning_loses_nothing():
     assert licenses.Matcher(templates, 0.7).passages(pa.array(texts)) == want
 
 
+def test_licenses_within_comments_and_longer_lines():
+    full = [next(t for n, t in reversed(licenses.FULL_TEMPLATES) if n == name).split() for name in ("MIT", "GPL-3.0")]
+    wrapped = ["\n".join(mark + " ".join(w[i : i + 9]) for i in range(0, len(w), 9)) for mark, w in zip(("// ", "# "), full)]
+    texts = ["// Copyright 2020 A Person\n" + wrapped[0] + "\nint x;", wrapped[1], prose(1, 10) + " Released under the MIT License. " + prose(2, 20), prose(3), "", None]
+    match = licenses.matcher(licenses.FULL_TEMPLATES, licenses.THRESHOLD)
+    got = match.windows(pa.array(texts))
+    assert {i: {n: max(d) for n, d in per.items()} for i, per in got.items()} == {0: {"MIT": 1.0}, 1: {"GPL-3.0": 1.0}, 2: {"MIT": 1.0}}
+    assert got[2] == {"MIT": [1.0]} and match.windows(pa.array([texts[2] + texts[2]])) == {0: {"MIT": [1.0, 1.0]}}
+
+
 # 9
 
 def test_ranking_separates_held_out_documents(spark):

@@ -54,6 +54,36 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: Wordings of whole notices and licences, for passages within a text.
+FULL_TEMPLATES = (
+    *TEMPLATES,
+    (
+        "MIT",
+        TEMPLATES[2][1] + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "GPL-3.0",
+        TEMPLATES[6][1] + " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the "
+        "GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    (
+        "Apache-2.0",
+        TEMPLATES[4][1] + " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "ISC",
+        TEMPLATES[11][1] + ", provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE "
+        "AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR "
+        "BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+        "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+)
+
 
 class Matcher:
     """Bigram sets of the templates, ordered by size so that size bounds are a range."""
@@ -91,6 +121,50 @@ class Matcher:
                     best[name] = max(best.get(name, 0.0), float(dice))
         return out
 
+    def windows(self, column: pa.Array) -> dict[int, dict[str, list[float]]]:
+        """For each text, the coefficients of each licence's windows, the best ones without overlap.
+
+        A window is any run of words.  A best one begins and ends with a bigram of the
+        template, and its first bigram doesn't recur in it, else a shorter one is as good.
+        """
+        w = tc.Words(column)
+        grams, off = tc.ngrams(w.hash, w.off, 2)
+        hits = np.flatnonzero(self.all[np.minimum(np.searchsorted(self.all, grams), len(self.all) - 1)] == grams)
+        t = self.threshold
+        found: dict[tuple[int, str], list[tuple[float, int, int]]] = {}
+        for s, name in self.sets:
+            at = hits[np.isin(grams[hits], s)]
+            rows = np.searchsorted(off, at, side="right") - 1
+            own, need, most = set(s.tolist()), len(s) * t / (2 - t) - 1e-9, len(s) * (2 - t) / t + 1e-9
+            for r in np.flatnonzero(np.bincount(rows) >= need).tolist() if len(at) else ():
+                here = at[rows == r]
+                if len(np.unique(grams[here])) < need:
+                    continue
+                for i in here.tolist():
+                    seen, shared, first = set(), 0, grams[i]
+                    for j in range(i, int(off[r + 1])):
+                        g = int(grams[j])
+                        if j > i and g == first:
+                            break
+                        if g in seen:
+                            continue
+                        seen.add(g)
+                        if len(seen) > most:
+                            break
+                        if g in own:
+                            shared += 1
+                            dice = 2 * shared / (len(seen) + len(own))
+                            if dice >= t - 1e-12:
+                                found.setdefault((r, name), []).append((dice, i, j))
+        out: dict[int, dict[str, list[float]]] = {}
+        for (r, name), spans in found.items():
+            taken: list[tuple[float, int, int]] = []
+            for x in sorted(spans, key=lambda x: (-x[0], x[1] - x[2], x[1])):
+                if all(x[2] < i or x[1] > j for _, i, j in taken):
+                    taken.append(x)
+            out.setdefault(r, {})[name] = [dice for dice, _, _ in taken]
+        return out
+
 
 @lru_cache(maxsize=4)
 def matcher(templates: tuple[tuple[str, str], ...], threshold: float) -> Matcher:
@@ -139,3 +213,25 @@ def find(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
     return rows.mapInArrow(run, "doc_id long, license string, dice double, n_passages int")
+
+
+def find_within(docs: DataFrame, templates: tuple[tuple[str, str], ...] = FULL_TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, license, dice, n_passages): licences that any run of words of the document states.
+
+    As ``find``, but line ends, comment marks and the words around a statement don't
+    matter.  ``n_passages`` counts windows that don't overlap.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = matcher(templates, threshold)
+        for batch in batches:
+            for a, b in tc.slices(batch.column(1)):
+                found = [(a + i, name, max(dice), len(dice)) for i, per in match.windows(batch.column(1).slice(a, b - a)).items() for name, dice in per.items()]
+                if found:
+                    rows, names, best, count = zip(*found)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(names), pa.array(best), pa.array(count, pa.int32())], ["doc_id", "license", "dice", "n_passages"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
+    return rows.mapInArrow(run, "doc_id long, license string, dice double, n_passages int")

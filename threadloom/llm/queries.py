@@ -40,6 +40,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find(shared.table(spark, sf_dir, "documents"))
 
 
+def license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_within(shared.table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rank(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
 
