@@ -62,3 +62,10 @@ def test_stemming_and_louvain_queries(spark):
     assert len({r["label"] for r in stems}) == len(stems)
     rows = q["louvain"](spark, FOLDER).collect()
     assert len({r["id"] for r in rows}) == len(rows)
+
+
+def test_pairs_of_documents_are_whole(spark):
+    q = catalog.queries()
+    pairs = q["document_cooccurrences_all"](spark, FOLDER)
+    assert pairs.filter("frequency = 1").count() > 0
+    assert pairs.agg({"frequency": "sum"}).first()[0] == q["document_tuplets"](spark, FOLDER).count()

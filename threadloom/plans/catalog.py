@@ -119,11 +119,21 @@ def window_tuplets(spark, d):
 
 @_query(sql.query(sql.TEXT, "SELECT least(a.label, b.label) AS entity_one, greatest(a.label, b.label) AS entity_two, count(*) AS frequency FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND b.s > a.s GROUP BY ALL HAVING count(*) > 1"))
 def document_cooccurrences(spark, d):
+    return document_cooccurrences_all(spark, d).filter("frequency > 1")
+
+
+@_query(sql.query(sql.TEXT, "SELECT least(a.label, b.label) AS entity_one, greatest(a.label, b.label) AS entity_two, count(*) AS frequency FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND b.s > a.s GROUP BY ALL"))
+def document_cooccurrences_all(spark, d):
     # pairs of one document are as many labels apart as mentions: counted by label and document before they pair up
     per_doc = c.mentions(spark, d).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
     a, b = per_doc.select("doc_id", F.col("label").alias("entity_one"), F.col("n").alias("n1")), per_doc.select("doc_id", F.col("label").alias("entity_two"), F.col("n").alias("n2"))
     n = F.when(F.col("entity_one") == F.col("entity_two"), F.col("n1") * (F.col("n1") - 1) / 2).otherwise(F.col("n1") * F.col("n2")).cast("long")
-    return a.join(b, "doc_id").filter("entity_one <= entity_two").groupBy("entity_one", "entity_two").agg(F.sum(n).alias("frequency")).filter("frequency > 1")
+    return a.join(b, "doc_id").filter("entity_one <= entity_two").groupBy("entity_one", "entity_two").agg(F.sum(n).alias("frequency")).filter("frequency > 0")
+
+
+@_query(sql.query(sql.TEXT, "SELECT a.doc_id, a.s AS one_start, a.label AS one_text, b.s AS two_start, b.label AS two_text FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND b.s > a.s"))
+def document_tuplets(spark, d):
+    return cooccur.document_tuplets(extract.mentions(c.documents(spark, d))).select("doc_id", "one_start", "one_text", "two_start", "two_text")
 
 
 @_query(sql.query(sql.TEXT_ENTITIES, f"SELECT label, {sql.STATS} FROM entities"))
