@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +28,64 @@ def community_graph(nodes: DataFrame, rows: DataFrame, f: GraphFilter = GraphFil
     return v, e.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.col(weight).cast("double").alias("weight"))
 
 
-def connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(community, id): connected components, named by their least member; single vertices too.
+#: Links up to which components are found in one task; the number is counted first.
+ONE_TASK_LINKS = 1_000_000
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): every node of the links with the least node that it is connected to."""
+    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    if not parts:
+        return
+    x, y = (np.concatenate(c) for c in zip(*parts))
+    nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y, label = at[: len(x)], at[len(x) :], np.arange(len(nodes))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, label[x], label[y])
+        np.minimum.at(least, label[y], label[x])
+        while (jump := least[least]).tobytes() != least.tobytes():
+            least = jump
+        new = least[label]
+        if (new == label).all():
+            break
+        label = new
+    inner = label != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[inner]), pa.array(nodes[label[inner]])], ["a", "b"])
+
+
+def _mark(links: DataFrame) -> tuple:
+    """What tells two sets of links apart: their number and a hash of them all."""
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014), whose rounds
-    grow with the logarithm of the longest path; each round is written once.
+
+def stars(edges: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """(a, b): every node of the edges (a, b) that isn't the least of its component, with the least.
+
+    Up to ``one_task`` links, which are counted, are joined up in one task; more
+    by alternating large-star and small-star steps (Kiveris et al., 2014), whose
+    rounds grow with the logarithm of the longest path.  Each round is written
+    once and compared with the last by one hash of all links.
     """
     links = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
+    mark = _mark(links)
+    if mark[0] <= one_task:
+        return links.coalesce(1).mapInArrow(_in_one_task, links.schema) if mark[0] else links
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         new = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        new = written(new, "components")
-        done = not new.join(links, ["a", "b"], "left_anti").limit(1).count() and not links.join(new, ["a", "b"], "left_anti").limit(1).count()
-        links = new
-        if done:
-            break
+        links = written(new, "components")
+        last, mark = mark, _mark(links)
+        if mark == last:
+            return links
+
+
+def connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(community, id): connected components, named by their least member; single vertices too."""
+    links = stars(edges)
     return vertices.join(links.withColumnRenamed("a", "id"), "id", "left").select(F.coalesce("b", "id").alias("community"), "id")
 
 
