@@ -34,7 +34,7 @@ def edge_rows():
 def edge_docs(spark):
     """Nulls, empty and very long texts, ties, repeated rows and extra columns whose names clash with ours."""
     df = table(spark, edge_rows())
-    names = ("score", "n", "sig", "size", "count", "key", "shard", "row", "digest", "jaccard", "toxic_", "__maybe_", "kept", "window_id", "rule")
+    names = ("score", "n", "sig", "size", "count", "key", "shard", "row", "digest", "jaccard", "toxic_", "__maybe", "__word", "__at", "__row", "maybe", "slot_of_key", "bit_word", "kept", "window_id", "rule")
     return df.withColumns({n: F.lit(1) for n in names})
 
 
@@ -57,7 +57,7 @@ OPERATORS = {
     "decontaminate": lambda s, d: decontaminate.contaminated(d, s.createDataFrame([(1, prose(7)[:200]), (2, None), (None, "x"), (3, "")], "item_id long, text string")),
     "exact": lambda s, d: exact_dedup.duplicate_groups(d),
     "licenses": lambda s, d: licenses.find(d),
-    "jaccard": lambda s, d: jaccard_join.pairs(d),
+    "jaccard": lambda s, d: jaccard_join.links(d),
     "quality": lambda s, d: quality.rank(d, s.createDataFrame([(7, 1), (2, 0), (None, 1), (4, None)], "doc_id long, quality int")),
     "toxicity": lambda s, d: toxicity.severity(d, toxicity.train(d, s.createDataFrame([], "doc_id long, toxic int"))),
 }
@@ -460,47 +460,90 @@ def near_rows():
     return rows
 
 
-def test_jaccard_pairs_against_brute_force(spark):
-    rows = near_rows()
-    sets = {i: grams(t) for i, t in rows}
-    want = {}
-    for (i, a), (j, b) in itertools.combinations(sets.items(), 2):
-        k = len(a & b) / len(a | b)
-        if k >= 0.5:
-            want[i, j] = k
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard_join.pairs(table(spark, rows)).collect()}
-    assert got.keys() <= want.keys() and len(got) >= 0.99 * len(want) > 100
-    assert all(abs(got[p] - want[p]) < 1e-12 for p in got)
-    root = {i: i for i in sets}
+def slow_links(rows, t=0.5):
+    """{(id, id): similarity} of all pairs that reach the threshold."""
+    sets = {i: grams(x) for i, x in rows if x}
+    found = {}
+    for (i, a), (j, b) in itertools.combinations(sorted((i, s) for i, s in sets.items() if s), 2):
+        k = len(a & b)
+        if k and k >= t * (len(a) + len(b) - k):
+            found[i, j] = k / (len(a) + len(b) - k)
+    return found
+
+
+def slow_classes(pairs):
+    """{id: (least id connected, ids linked, largest similarity)}."""
+    root = {i: i for p in pairs for i in p}
 
     def find(x):
         return x if root[x] == x else find(root[x])
 
-    for i, j in got:
+    for i, j in pairs:
         root[max(find(i), find(j))] = min(find(i), find(j))
-    kept = sorted(r["doc_id"] for r in jaccard_join.drop_near_copies(table(spark, rows)).collect())
-    assert kept == sorted({find(i) for i in sets})
-
-
-def test_trie_search_is_complete():
-    rng = random.Random(10)
-    sets = {k: sorted(rng.sample(range(40), rng.randrange(1, 14))) for k in range(120)}
-    trie = jaccard_join.Trie()
+    return {i: (find(i), sum(i in p for p in pairs), max(s for p, s in pairs.items() if i in p)) for i in root}
+
+
+@pytest.mark.parametrize("block_items", [jaccard_join.BLOCK_ITEMS, 250])
+def test_jaccard_links_against_brute_force(spark, block_items):
+    rows = near_rows() + [(500 + k, prose(1, 2500) + prose(600 + k, 40 * k)) for k in range(30)] + [(700, prose(1, 5000)), (701, prose(1, 5000) + " x y z")]
+    want = slow_links(rows)
+    members, pairs = jaccard_join.class_pairs(table(spark, rows), block_items=block_items)
+    ids = {}
+    for r in members.collect():
+        ids.setdefault(r["cls"], []).append(r["doc_id"])
+    got = {tuple(sorted((i, j))): r["jaccard"] for r in pairs.collect() for i in ids[r["cls_a"]] for j in ids[r["cls_b"]]}
+    got |= {(i, j): 1.0 for g in ids.values() for i, j in itertools.combinations(sorted(g), 2)}
+    assert got.keys() == want.keys() and len(want) > 400
+    assert all(abs(got[p] - want[p]) < 1e-12 for p in got)
+    rows_of = slow_classes(want)
+    found = {r["doc_id"]: (r["class_id"], r["n_links"], r["closest"]) for r in jaccard_join.links(table(spark, rows), block_items=block_items).collect()}
+    assert found.keys() == rows_of.keys()
+    assert all(found[i][:2] == rows_of[i][:2] and abs(found[i][2] - rows_of[i][2]) < 1e-12 for i in found)
+    kept = sorted(r["doc_id"] for r in jaccard_join.drop_near_copies(table(spark, rows), block_items=block_items).collect())
+    assert kept == sorted(i for i, _ in rows if rows_of.get(i, (i,))[0] == i)
+
+
+def test_many_copies_and_shared_passages_lose_no_link(spark):
+    passage = prose(4242, 60)
+    rows = [(i, prose(50 + i, 100) + " " + passage) for i in range(120)]  # a passage that everyone has
+    rows += [(1000 + i, prose(7, 80) + f" {WORDS[i % 20]} {WORDS[i % 7]} {i}") for i in range(90)]  # near copies, most grams hot
+    rows += [(2000 + i, rows[3][1]) for i in range(70)]
+    want = slow_classes(slow_links(rows))
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.links(table(spark, rows), block_items=400).collect()}
+    assert found == {i: w[:2] for i, w in want.items()}
+
+
+def test_forest_finds_what_a_slow_search_finds():
+    rng = np.random.default_rng(10)
+    sets, group = [], []
+    for g in range(4):
+        for _ in range(60):
+            sets.append(np.sort(rng.choice(40, rng.integers(1, 14), replace=False)))
+            group.append(g)
+    weight_of = rng.integers(1, 5, 40)
+    weights = [weight_of[s] for s in sets]
+    extra = rng.integers(0, 3, len(sets))
+    n = np.array([w.sum() for w in weights]) + extra
+    off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    forest = jaccard_join.Forest(n, off, np.concatenate(sets), np.concatenate(weights), np.array(group), np.ones(len(sets), bool))
+    got = {(int(a), int(b)): int(k) for x in forest.pairs(np.arange(len(sets)), 0.5, False) for a, b, k in zip(*x)}
+    want = {}
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        k = int(weight_of[np.intersect1d(sets[a], sets[b])].sum())
+        if group[a] == group[b] and k >= 0.5 * (n[a] + n[b] - k):
+            want[a, b] = k
+    assert got == want and want
 
-    def required(n, other):
-        t = 0.5
-        return max(1, int(np.ceil(t * n - 1e-9))) if other is None else max(1, int(np.ceil(t / (1 + t) * (n + other) - 1e-9)))
 
-    for k, s in sets.items():
-        trie.add(s, len(s), k)
-    for k, s in sets.items():
-        got = dict(trie.search(s, len(s), None, 0.5, required))
-        want = {j: len(set(s) & set(o)) for j, o in sets.items() if len(set(s) & set(o)) / len(set(s) | set(o)) >= 0.5}
-        assert got == want
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(3)
+    for column in (np.zeros(0, np.uint64), np.sort(rng.integers(0, 1 << 63, 999).astype(np.uint64) * np.uint64(2)), np.array([0, (1 << 64) - 1], np.uint64)):
+        back, other = jaccard_join._unpack(jaccard_join._pack(jaccard_join._steps(column), np.arange(5)))
+        assert np.array_equal(np.cumsum(back, dtype=np.uint64), column) and other.tolist() == [0, 1, 2, 3, 4]
 
 
-def test_hot_gram_groups_lose_no_pair():
-    at_gram = jaccard_join._candidates(0.5, 64, 0.0005)
-    rows = [(k, 40, list(range(5)) + list(range(100 + k % 3, 140))) for k in range(60)]
-    got = {tuple(sorted(p[:2])) for p in at_gram(0, rows)}
-    assert len(got) == 60 * 59 // 2
+def test_texts_of_one_id_go_together(spark):
+    rows = [(5, prose(1, 50)), (7, prose(1, 50) + " x"), (5, prose(2, 50)), (3, prose(2, 50) + " y"), (9, prose(3, 50))]
+    assert sorted(r["doc_id"] for r in jaccard_join.drop_near_copies(table(spark, rows)).collect()) == [3, 9]
+    found = jaccard_join.links(table(spark, rows + rows)).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == [(3, 3, 1), (5, 3, 1), (5, 3, 1), (7, 3, 1)]

@@ -1,85 +1,105 @@
 """N-gram Jaccard self-join with prefix trees.
 
-The word n-grams of a document, as 64-bit hashes, are its set.  The join runs in
-these steps, each over all documents:
-
-1. *Sets.*  Every document's set is computed; documents of equal sets are one class
-   and are joined once.  Of a set, its SAMPLE least hashes are kept (all of a
-   smaller set): the least hashes of two sets are a sample of their union.
-2. *Global order.*  Sampled n-grams are ordered by the number of classes that have
-   them, rarest first, then by hash.  Grams of one class only can't match.  From
-   here on a gram is 4 bytes: that two of a pair's grams then look alike by chance
-   is a thousand times rarer than MISS.
-3. *Routing.*  A pair at the threshold shares at least ``need`` sampled grams, so
-   the sample of each, in the global order, has a shared gram among its first
-   ``size - need + 1``.  Classes are sent, with their ordered samples, to each of
-   these grams that another class has too.  Passages that very many documents
-   share come last in the order and so route almost nothing.
-4. *Prefix tree.*  At each gram the samples are stored in a trie; every class
-   traverses it once, sharing the overlap counts of common paths.  A subtree is
-   left as soon as its remaining length can't reach ``need``, its set sizes exclude
-   the threshold, or its first shared gram is another one (the pair is then found
-   there).
-5. *Verification.*  The pairs' whole sets are compared exactly.  Each set is sent
-   once for each least shared gram of its pairs, so near-copies meet in one place.
-
-Nothing is capped.  For sets of up to SAMPLE grams the join is exact; for larger
-ones a pair is missed if its samples share fewer grams than ``need``, which is set
-so that this happens to at most MISS of the pairs right at the threshold and to
-practically none above it.
+The word n-grams of a text, as 64-bit hashes, are its set; a link is a pair of
+texts whose sets reach the threshold.  Texts of equal sets are one class.  The
+join is exact over whole sets:
+
+1. *Counting.*  A text can only have a link if a share ``threshold`` of its grams
+   is in other texts too.  Every gram is sent, as a short code with its document,
+   to the bucket of its code, where codes of several documents are found, and the
+   number of these comes back to each document.  Codes that coincide only make
+   the number larger, so nothing is lost; documents that fall short leave.
+2. *Items.*  The whole grams of one document of each remaining class go to
+   buckets again.  Grams that exactly the same classes hold act alike, so they
+   become one item that weighs as much as their number.  Items are put in a
+   global order, those of most classes first.
+3. *Components.*  Two sets that reach the threshold share an item among the
+   rarest ``n - threshold * n + 1`` grams of each.  Classes that share such an
+   item are connected; what isn't connected has no link.
+4. *Prefix trees.*  The sets of a component, in the global order, form a trie,
+   whose common paths all sets share.  All of them traverse it together, a level
+   at a time, carrying the overlap so far; a subtree is left as soon as its
+   remaining length can't lift the overlap to what the threshold asks for, or
+   its set sizes exclude it.  A component of more than BLOCK_ITEMS items is cut
+   into blocks, and those pairs of blocks that share such an item are joined.
+
+Grams that are in a large share of a sample of documents (boilerplate) aren't
+sent in step 1 and 2 but known to all tasks; this decides who counts them, never
+the result.  Nothing is capped or sampled, and what comes out grows with the
+number of documents, not of links.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.community import stars
 from . import shared
 from . import textcode as tc
 
-#: Words of a gram; least Jaccard similarity of a pair.
+#: Words of a gram; least Jaccard similarity of a link.
 N, THRESHOLD = 3, 0.5
-#: Grams of a set that route it; share of pairs at the threshold that may be missed.
-SAMPLE, MISS = 64, 0.0005
 
-#: Ids in one list of the members of a class.
-LIST_IDS = 1024
-#: Leading bytes of a gram's hash that stand for it while classes are counted.
-GRAM_BYTES = 6
+#: Grams that a task holds at once: of a bucket, and of those to be sent.
+BUCKET_GRAMS, FLUSH_GRAMS = 4 << 20, 2 << 20
+#: Bits of a code beyond those that number all grams.
+SPARE_BITS = 7
+#: A gram in one of HOT_SHARE documents, by a sample of HOT_SAMPLE, is known to all tasks.  There are at most
+#: HOT_SHARE times as many as a document has grams on average, whatever the number of documents.
+HOT_SAMPLE, HOT_SHARE = 4096, 64
+#: Items of a trie beyond which a component is joined in blocks.
+BLOCK_ITEMS = 1 << 17
+#: Entries of a traversal's frontier, and bytes of its membership table, at once.
+FRONTIER = 1 << 20
 
-_CODED = "doc_id long, sig long, n int, sample array<long>"
+_HOT_DF = 1 << 30
 
 
-@cache
-def _sample_need(sample: int, threshold: float, miss: float) -> int:
-    """The largest count that Binomial(sample, threshold) falls short of with at most ``miss``."""
-    below, c = 0.0, 0
-    while True:
-        below += math.comb(sample, c) * threshold**c * (1 - threshold) ** (sample - c)
-        if below > miss:
-            return max(1, c)
-        c += 1
+# -- columns of numbers as bytes -------------------------------------------------------------------------
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Unsigned columns as compressed byte planes; ascending ones are best given as differences."""
+    head, parts = [len(columns)], []
+    for c in columns:
+        c = c.astype(np.uint64)
+        width = max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1
+        head += [len(c), width]
+        parts.append(c.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    raw = np.array(head, np.int64).tobytes() + b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
 
+def _unpack(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    count = int(np.frombuffer(raw, np.int64, 1)[0])
+    head = np.frombuffer(raw, np.int64, 1 + 2 * count)[1:]
+    at, out = 8 * (1 + 2 * count), []
+    for n, width in head.reshape(-1, 2).tolist():
+        planes = np.zeros((n, 8), np.uint8)
+        planes[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+        out.append(planes.view(np.uint64).ravel())
+        at += n * width
+    return out
 
-def need(n_a: int, n_b: int, sample: int, threshold: float, miss: float) -> int:
-    """Sampled grams that two sets of these sizes must share."""
-    if max(n_a, n_b) <= sample:
-        return max(1, math.ceil(threshold / (1 + threshold) * (n_a + n_b) - 1e-9))
-    return min(_sample_need(sample, threshold, miss), n_a, n_b)
 
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """First value and differences, modulo 2**64."""
+    v = ascending.astype(np.uint64)
+    return np.concatenate([v[:1], v[1:] - v[:-1]])
 
-def least_need(n: int, sample: int, threshold: float, miss: float) -> int:
-    """The least ``need`` of a set of this size with any other within the size bounds."""
-    exact = max(1, math.ceil(threshold * n - 1e-9))
-    if n / threshold <= sample:
-        return exact
-    return max(1, min(exact, _sample_need(sample, threshold, miss), n))
+
+def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+
+# -- sets ------------------------------------------------------------------------------------------------
 
 
 def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,279 +111,565 @@ def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return grams, off, sig.view(np.int64)
 
 
-def _coded(docs: DataFrame, n: int, sample: int) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc_ids, signatures, sizes, grams) of about FLUSH_GRAMS grams at a time, without texts that have no word."""
+    held: list[tuple] = []
+    total = 0
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for a, b in tc.slices(batch.column(1)):
+            grams, off, sig = _sets(batch.column(1).slice(a, b - a), n)
+            sizes = np.diff(off)
+            has = sizes > 0
+            held.append((ids[a:b][has], sig[has], sizes[has], grams))
+            total += len(grams)
+            if total >= FLUSH_GRAMS:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, total = [], 0
+    if total:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def signed(texts: DataFrame, n: int = N) -> DataFrame:
+    """(doc_id, sig, n) of every text that has a word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in tc.slices(batch.column(1)):
-                grams, off, sig = _sets(batch.column(1).slice(a, b - a), n)
-                sizes = np.diff(off)
-                take = np.minimum(sizes, sample)
-                out = np.concatenate([[0], np.cumsum(take)])
-                at = np.arange(out[-1]) - np.repeat(out[:-1], take) + np.repeat(off[:-1], take)
-                lists = pa.ListArray.from_arrays(pa.array(out.astype(np.int32)), pa.array(grams[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sig), pa.array(sizes.astype(np.int32)), lists], ["doc_id", "sig", "n", "sample"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(run, _CODED).filter("n > 0")
-
-
-class Trie:
-    """Ordered sets; each node has a gram, the deepest level below it and the range of set sizes."""
-
-    __slots__ = ("children", "deepest", "smallest", "largest", "ends")
-
-    def __init__(self) -> None:
-        self.children: dict[int, Trie] = {}
-        self.deepest, self.smallest, self.largest = 0, 1 << 60, 0
-        self.ends: list[tuple[int, int]] = []
-
-    def add(self, grams: list[int], n: int, key: int) -> None:
-        node = self
-        for k in range(len(grams) + 1):
-            node.deepest = max(node.deepest, len(grams) - k)
-            node.smallest, node.largest = min(node.smallest, n), max(node.largest, n)
-            if k < len(grams):
-                node = node.children.setdefault(grams[k], Trie())
-        node.ends.append((n, key))
-
-    def search(self, grams: list[int], n: int, first: int | None, threshold: float, required) -> Iterator[tuple[int, int]]:
-        """(key, overlap) of the stored sets that share at least ``required(n, other)`` grams.
-
-        With ``first``, only those whose first shared gram in the order is that one.
+        for ids, sig, sizes, _ in _gathered(batches, n):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sig), pa.array(sizes.astype(np.int32))], ["doc_id", "sig", "n"])
+
+    return texts.mapInArrow(run, "doc_id long, sig long, n int")
+
+
+def _hot(texts: DataFrame, n_texts: int, n: int) -> np.ndarray:
+    """Grams that at least one of HOT_SHARE documents of a sample has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, grams in _gathered(batches, n):
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
+
+    part = min(1.0, HOT_SAMPLE / max(1, n_texts))
+    few = texts if part == 1.0 else texts.sample(part, seed=7)
+    often = few.mapInArrow(run, "gram long").groupBy("gram").count().filter(F.col("count") >= HOT_SAMPLE // HOT_SHARE)
+    return np.sort(often.select("gram").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(x), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+
+
+# -- buckets ---------------------------------------------------------------------------------------------
+
+_SENT = "place int, kind int, data binary"
+_SENT_NAMES, _SENT_TYPES = ["place", "kind", "data"], [pa.int32(), pa.int32(), pa.binary()]
+
+
+def _cut(codes: np.ndarray, owner: np.ndarray, keys: np.ndarray, bits: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """The codes by bucket, each ascending, with the keys of their owners (index of ``keys``)."""
+    order = np.argsort(codes, kind="stable")
+    codes, owner = codes[order], owner[order]
+    step = -(-(1 << bits) // buckets)
+    edges = np.searchsorted(codes, np.array([min(b * step, (1 << 64) - 1) for b in range(1, buckets)], np.uint64))
+    for b, (s, e) in enumerate(zip([0, *edges], [*edges, len(codes)])):
+        if e > s:
+            own, at = np.unique(owner[s:e], return_inverse=True)
+            yield b, _pack(_steps(codes[s:e]), at, _steps(keys[own]))
+
+
+def _joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, their owners and the keys of the owners of several packed parts, by code."""
+    codes, owners, keys, base = [], [], [], 0
+    for blob in blobs:
+        c, at, k = _unpack(blob)
+        codes.append(np.cumsum(c, dtype=np.uint64))
+        owners.append(at.astype(np.int64) + base)
+        keys.append(np.cumsum(k, dtype=np.uint64))
+        base += len(k)
+    code, owner = np.concatenate(codes), np.concatenate(owners)
+    order = np.argsort(code, kind="stable")
+    return code[order], owner[order], np.concatenate(keys)
+
+
+def _by_place(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[int, list[bytes]]]:
+    """The packed parts of a partition by place and kind."""
+    found: dict[int, dict[int, list[bytes]]] = {}
+    for batch in batches:
+        for place, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            found.setdefault(place, {}).setdefault(kind, []).append(data)
+    return found
+
+
+def _buckets(spark, bytes_of_text: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_of_text // (6 * BUCKET_GRAMS)))
+
+
+def _candidates(texts: DataFrame, n: int, threshold: float, bytes_of_text: int, hot: np.ndarray) -> DataFrame:
+    """(doc_id): documents of which at least ``threshold`` of the grams may be in others too."""
+    spark = texts.sparkSession
+    buckets = _buckets(spark, bytes_of_text)
+    bits = min(64, max(32, (bytes_of_text // 4 + 1).bit_length() + SPARE_BITS))
+    known = spark.sparkContext.broadcast(hot)
+
+    def home(ids: np.ndarray) -> np.ndarray:
+        return (tc.mix(ids.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(buckets)).astype(np.int64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, sizes, grams in _gathered(batches, n):
+            by_id = np.argsort(ids, kind="stable")
+            rank = np.empty(len(ids), np.int64)
+            rank[by_id] = np.arange(len(ids))
+            owner = np.repeat(rank, sizes)  # documents in the order of their ids, so that these pack well
+            often = _among(known.value, grams)
+            everywhere = np.bincount(owner[often], minlength=len(ids))
+            ids, sizes = ids[by_id], sizes[by_id]
+            rows = [(b, 0, data) for b, data in _cut(grams[~often] >> np.uint64(64 - bits), owner[~often], ids.view(np.uint64), bits, buckets)]
+            one, first, times = np.unique(ids, return_index=True, return_counts=True)
+            place = home(one)
+            for p in np.unique(place):
+                k = place == p
+                rows.append((int(p), 1, _pack(_steps(one[k]), sizes[first[k]], everywhere[first[k]], times[k])))
+            yield _rows(rows, _SENT_NAMES, _SENT_TYPES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, kinds in _by_place(batches).items():
+            rows = [(place, 1, data) for data in kinds.get(1, [])]
+            if 0 in kinds:
+                code, owner, keys = _joined(kinds.pop(0))
+                twice = np.zeros(len(code), bool)
+                twice[1:] = code[1:] == code[:-1]
+                twice[:-1] |= twice[1:]
+                hits = np.bincount(owner[twice], minlength=len(keys))
+                ids = keys[hits > 0].view(np.int64)
+                hits, to = hits[hits > 0], home(ids)
+                order = np.lexsort((ids, to))
+                ids, hits, to = ids[order], hits[order], to[order]
+                edges = np.flatnonzero(np.diff(to, prepend=-1))
+                for s, e in zip(edges, [*edges[1:], len(to)]):
+                    rows.append((int(to[s]), 0, _pack(_steps(ids[s:e]), hits[s:e])))
+            if rows:
+                yield _rows(rows, _SENT_NAMES, _SENT_TYPES)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kinds in _by_place(batches).values():
+            told = [_unpack(d) for d in kinds[1]]
+            ids, at = np.unique(np.concatenate([np.cumsum(t[0], dtype=np.uint64).view(np.int64) for t in told]), return_inverse=True)
+            size, hits, times = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            size[at] = np.concatenate([t[1] for t in told])
+            np.add.at(hits, at, np.concatenate([t[2] for t in told]).astype(np.int64))
+            np.add.at(times, at, np.concatenate([t[3] for t in told]).astype(np.int64))
+            for d in kinds.get(0, []):
+                i, h = _unpack(d)
+                np.add.at(hits, np.searchsorted(ids, np.cumsum(i, dtype=np.uint64).view(np.int64)), h.astype(np.int64))
+            stays = (times > 1) | (hits >= threshold * size - 1e-9)  # several texts of one id can't be told apart here
+            yield pa.RecordBatch.from_arrays([pa.array(ids[stays])], ["doc_id"])
+
+    counted = texts.mapInArrow(send, _SENT).repartitionById(buckets, F.col("place")).mapInArrow(count, _SENT)
+    return counted.repartitionById(buckets, F.col("place")).mapInArrow(decide, "doc_id long")
+
+
+def _items(texts: DataFrame, n: int, bytes_of_text: int, hot: np.ndarray) -> DataFrame:
+    """(cls, item, df, w): the shared grams of every class, those of the same classes as one item of weight w."""
+    spark = texts.sparkSession
+    buckets = _buckets(spark, bytes_of_text)
+    known = spark.sparkContext.broadcast(hot)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sig, sizes, grams in _gathered(batches, n):
+            by_sig = np.argsort(sig.view(np.uint64), kind="stable")
+            rank = np.empty(len(sig), np.int64)
+            rank[by_sig] = np.arange(len(sig))
+            owner, keys = np.repeat(rank, sizes), sig.view(np.uint64)[by_sig]
+            often = _among(known.value, grams)
+            rows = [(b, 0, data) for b, data in _cut(grams[~often], owner[~often], keys, 64, buckets)]
+            if often.any():
+                rows += [(b, 1, data) for b, data in _cut(keys[owner[often]], np.arange(int(often.sum())), grams[often], 64, buckets)]
+            yield _rows(rows, _SENT_NAMES, _SENT_TYPES)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cls", "item", "df", "w"]
+
+        def out(cls, item, df, w):
+            for s in range(0, len(cls), 200_000):
+                e = s + 200_000
+                arrays = [cls[s:e].view(np.int64), item[s:e].view(np.int64), df[s:e].astype(np.int32), w[s:e].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
+
+        for kinds in _by_place(batches).values():
+            if 0 in kinds:
+                code, owner, keys = _joined(kinds.pop(0))
+                cls = keys[owner]
+                order = np.lexsort((cls, code))
+                code, cls = code[order], cls[order]
+                new = np.ones(len(code), bool)
+                new[1:] = (code[1:] != code[:-1]) | (cls[1:] != cls[:-1])  # copies and repeated rows tell the same
+                code, cls = code[new], cls[new]
+                at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                df = np.diff(np.append(at, len(code)))
+                item = tc.mix(np.add.reduceat(tc.mix(cls ^ np.uint64(0x94D049BB133111EB)), at))  # the same classes, the same item
+                gram_df, gram_item = np.repeat(df, df), np.repeat(item, df)
+                k = gram_df > 1
+                cls, gram_df, gram_item = cls[k], gram_df[k], gram_item[k]
+                order = np.lexsort((gram_item, cls))
+                cls, gram_df, gram_item = cls[order], gram_df[order], gram_item[order]
+                if len(cls):
+                    at = np.flatnonzero(np.concatenate([[True], (cls[1:] != cls[:-1]) | (gram_item[1:] != gram_item[:-1])]))
+                    yield from out(cls[at], gram_item[at], gram_df[at], np.diff(np.append(at, len(cls))))
+            for d in kinds.get(1, []):
+                c, at, g = _unpack(d)
+                cls, gram = np.cumsum(c, dtype=np.uint64), np.cumsum(g, dtype=np.uint64)[at.astype(np.int64)]
+                yield from out(cls, gram, np.full(len(cls), _HOT_DF), np.ones(len(cls)))
+
+    return texts.mapInArrow(send, _SENT).repartitionById(buckets, F.col("place")).mapInArrow(merge, "cls long, item long, df int, w int")
+
+
+# -- prefix trees ----------------------------------------------------------------------------------------
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``counts``, its index that many times, and the numbers from 0 up."""
+    rep = np.repeat(np.arange(len(counts)), counts)
+    return rep, np.arange(len(rep)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+class Forest:
+    """Tries of weighted sets, one for each group, stored level by level.
+
+    Set i has size ``n[i]`` and the items ``off[i]:off[i + 1]`` in a global order.
+    A node has an item, the largest weight that is left below it, the range of
+    set sizes and the least set number of its subtree.
+    """
+
+    def __init__(self, n: np.ndarray, off: np.ndarray, items: np.ndarray, weights: np.ndarray, group: np.ndarray, stored: np.ndarray):
+        self.n, self.off, self.group, self.stored = n, off, group, stored
+        length = np.diff(off)
+        owner = np.repeat(np.arange(len(n)), length)
+        g = group[owner]
+        order = np.lexsort((items, g))
+        new = np.ones(len(order), bool)
+        new[1:] = (items[order][1:] != items[order][:-1]) | (g[order][1:] != g[order][:-1])
+        local = np.empty(len(order), np.int64)
+        local[order] = np.cumsum(new) - 1
+        self.width = np.bincount(g[order][new], minlength=int(group.max(initial=-1)) + 1)
+        self.column = local - (np.cumsum(self.width) - self.width)[g]  # the item's number in its group
+        self.weights = weights
+        left = np.concatenate([[0], np.cumsum(weights)])
+        left = np.repeat(left[off[1:]], length) - left[1:]  # what is left of the set after each item
+
+        self.levels = []
+        alive = np.flatnonzero(stored & (length > 0))
+        node = group[alive]
+        wide = int(self.column.max(initial=0)) + 1
+        k = 0
+        while len(alive):
+            at = off[alive] + k
+            key, inverse = np.unique(node * wide + self.column[at], return_inverse=True)
+            size = len(key)
+            first = np.empty(size, np.int64)
+            first[inverse] = at
+            deepest, low, high, least = np.zeros(size, np.int64), np.full(size, 1 << 60), np.zeros(size, np.int64), np.full(size, 1 << 60)
+            np.maximum.at(deepest, inverse, left[at])
+            np.minimum.at(low, inverse, n[alive])
+            np.maximum.at(high, inverse, n[alive])
+            np.minimum.at(least, inverse, alive)
+            done = length[alive] == k + 1
+            ended = alive[done]
+            by_node = np.argsort(inverse[done], kind="stable")
+            parent = key // wide
+            self.levels.append(
+                {
+                    "parent": parent,
+                    "column": self.column[first],
+                    "weight": weights[first],
+                    "deepest": deepest,
+                    "low": low,
+                    "high": high,
+                    "least": least,
+                    "ends": ended[by_node],
+                    "end_count": np.bincount(inverse[done], minlength=size),
+                }
+            )
+            alive, node, k = alive[~done], inverse[~done], k + 1
+
+    def _search(self, probes: np.ndarray, threshold: float, all_pairs: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        n = self.n
+        size = self.width[self.group[probes]]
+        base = np.cumsum(size) - size
+        held = np.zeros(int(size.sum()), bool)
+        rep, k = _spread(np.diff(self.off)[probes])
+        held[base[rep] + self.column[self.off[probes][rep] + k]] = True
+        floor = threshold * n[probes] - 1e-9
+        low, high = floor, n[probes] / threshold + 1e-9
+        node, probe, overlap = self.group[probes], np.arange(len(probes)), np.zeros(len(probes), np.int64)
+        for level in self.levels:
+            if not len(node):
+                return
+            start = np.searchsorted(level["parent"], node)
+            count = np.searchsorted(level["parent"], node, side="right") - start
+            rep, k = _spread(count)
+            child, probe, overlap = start[rep] + k, probe[rep], overlap[rep]
+            overlap = overlap + np.where(held[base[probe] + level["column"][child]], level["weight"][child], 0)
+            good = (overlap + level["deepest"][child] >= floor[probe]) & (level["low"][child] <= high[probe]) & (level["high"][child] >= low[probe])
+            if not all_pairs:
+                good &= level["least"][child] < probes[probe]
+            node, probe, overlap = child[good], probe[good], overlap[good]
+            if len(level["ends"]) and len(node):
+                count = level["end_count"][node]
+                rep, k = _spread(count)
+                first = np.cumsum(level["end_count"]) - level["end_count"]
+                a, b, both = level["ends"][first[node[rep]] + k], probes[probe[rep]], overlap[rep]
+                ok = both >= threshold * (n[a] + n[b] - both) - 1e-9
+                if not all_pairs:
+                    ok &= a < b
+                yield a[ok], b[ok], both[ok]
+
+    def pairs(self, probes: np.ndarray, threshold: float, all_pairs: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(stored set, probe, overlap) of one group that reach the threshold.
+
+        Unless ``all_pairs``, the probes are the stored sets, and of each pair the
+        lower number comes first.
         """
-        place = {g: i for i, g in enumerate(grams)}
-        low, high = threshold * n - 1e-9, n / threshold + 1e-9
-        floor = required(n, None)
-        stack = [(self, 0, 0)]
-        while stack:
-            node, overlap, done = stack.pop()
-            for size, key in node.ends:
-                if overlap and low <= size <= high and overlap >= required(n, size):
-                    yield key, overlap
-            for gram, child in node.children.items():
-                if child.largest < low or child.smallest > high:
-                    continue
-                at = place.get(gram)
-                if at is None or at < done:
-                    if overlap + min(child.deepest, len(grams) - done) >= floor:
-                        stack.append((child, overlap, done))
-                elif overlap or first is None or gram == first:
-                    if overlap + 1 + min(child.deepest, len(grams) - at - 1) >= floor:
-                        stack.append((child, overlap + 1, at + 1))
-
-
-def _candidates(threshold: float, sample: int, miss: float):
-    least = cache(lambda n: least_need(n, sample, threshold, miss))
-    both = cache(lambda a, b: need(a, b, sample, threshold, miss))
-
-    def required(n: int, other: int | None) -> int:
-        return least(n) if other is None else both(n, other)
-
-    def at_gram(first: int, rows: list[tuple[int, int, list[int]]]) -> Iterator[tuple[int, int, int]]:
-        """(class, class, least shared gram) of the candidate pairs whose first shared gram this is."""
-        if len(rows) == 2:  # most grams: no tree is needed for a single pair
-            (a, n_a, g_a), (b, n_b, g_b) = rows
-            if a != b and threshold * max(n_a, n_b) <= min(n_a, n_b) + 1e-9:
-                other = set(g_b)
-                common = [g for g in g_a if g in other]
-                if common and common[0] == first and len(common) >= both(n_a, n_b):
-                    yield a, b, min(common)
-            return
-        trie = Trie()
-        seen: dict[int, list[int]] = {}
-        for sig, n, grams in rows:  # every class asks those before it, so each pair is met once
-            if sig in seen:
-                continue
-            for key, _ in trie.search(grams, n, first, threshold, required):
-                other = set(seen[key])
-                yield sig, key, min(g for g in grams if g in other)
-            trie.add(grams, n, sig)
-            seen[sig] = grams
-
-    return at_gram
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], columns: list[int]) -> Iterator[tuple[int, list[tuple]]]:
-    """Runs of equal first column in sorted batches: (value, rows of the other columns)."""
-    key, rows = None, []
+        per_group = np.bincount(self.group[self.stored], minlength=len(self.width))
+        cost = np.maximum(per_group[self.group[probes]], self.width[self.group[probes]] // 16) + 1
+        part = np.cumsum(cost) // FRONTIER
+        edges = np.flatnonzero(np.diff(part, prepend=-1))
+        for s, e in zip(edges, [*edges[1:], len(probes)]):
+            yield from self._search(probes[s:e], threshold, all_pairs)
+
+
+def _linked(groups: list[dict], threshold: float) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of several groups in one frame, and the pairs among them (index, index, overlap)."""
+    group = np.repeat(np.arange(len(groups)), [len(g["cls"]) for g in groups])
+    all_of = {c: np.concatenate([g[c] for g in groups]) for c in ("cls", "side", "n", "k", "length", "items", "weights")}
+    off = np.concatenate([[0], np.cumsum(all_of["length"])])
+    side = all_of["side"]
+    forest = Forest(all_of["n"], off, all_of["items"], all_of["weights"], group, side < 2)
+    found = [*forest.pairs(np.flatnonzero(side == 0), threshold, False), *forest.pairs(np.flatnonzero(side == 2), threshold, True)]
+    if not found:
+        return all_of, *(np.zeros(0, np.int64),) * 3
+    return all_of, *map(np.concatenate, zip(*found))
+
+
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The sorted rows (task, side, cls, n, k, items, weights) by task, several small tasks at a time."""
+    held: list[dict] = []
+    current, parts, total = None, [], 0
+
+    def closed():
+        return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        data = [batch.column(c) for c in columns]
-        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
-        for s, e in zip(edges, [*edges[1:], len(keys)]):
-            if keys[s] != key:
-                if rows:
-                    yield key, rows
-                key, rows = int(keys[s]), []
-            rows += zip(*[d.slice(s, e - s).to_pylist() for d in data])
-    if rows:
-        yield key, rows
+        task = batch.column(0).to_numpy()
+        lists = batch.column(5)
+        edges = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])) if len(task) else []
+        for s, e in zip(edges, [*edges[1:], len(task)]):
+            if task[s] != current and parts:
+                held.append(closed())
+                total += len(held[-1]["items"])
+                parts = []
+                if total >= BLOCK_ITEMS // 2:
+                    yield held
+                    held, total = [], 0
+            current = task[s]
+            part = lists.slice(s, e - s)
+            columns = {c: batch.column(i).slice(s, e - s).to_numpy().astype(np.int64) for c, i in (("side", 1), ("cls", 2), ("n", 3), ("k", 4))}
+            columns["length"] = pa.compute.list_value_length(part).to_numpy(zero_copy_only=False).astype(np.int64)
+            columns["items"] = part.flatten().to_numpy().astype(np.int64)
+            columns["weights"] = batch.column(6).slice(s, e - s).flatten().to_numpy().astype(np.int64)
+            parts.append(columns)
+    if parts:
+        held.append(closed())
+    if held:
+        yield held
+
+
+def _labels(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that each of 0..size-1 is connected to."""
+    label = np.arange(size)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, label[a], label[b])
+        np.minimum.at(least, label[b], label[a])
+        new = least[label]
+        while not np.array_equal(jump := new[new], new):
+            new = jump
+        if np.array_equal(new, label):
+            return label
+        label = new
 
 
-def classes(docs: DataFrame, n: int = N, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, sig, n, sample) of every row that has a word."""
-    return shared.written(_coded(docs, n, sample), "jaccard-sets")
+# -- the join --------------------------------------------------------------------------------------------
 
 
-def _representatives(coded: DataFrame) -> DataFrame:
-    """(no, sig, doc_id, n, sample): of every class the document of the least id, and a number.
+def _ordered(rows: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(cls, n, k, items, weights, places): sets in the global order; places are the items of the rarest grams."""
+    by_class = rows.repartition("cls").groupBy("cls", "item").agg(F.max("df").alias("df"), F.sum("w").cast("int").alias("w"))
+    lists = by_class.groupBy("cls").agg(F.collect_list("item").alias("item"), F.collect_list("df").alias("df"), F.collect_list("w").alias("w"))
+    whole = lists.join(classes, "cls").select("cls", "n", "k", "item", "df", "w")
 
-    Only classes of several documents are shuffled; a bitmap tells which rows may
-    belong to one.
-    """
-    several = coded.groupBy("sig").agg(F.count("*").alias("k")).filter("k > 1")
-    marked = shared.with_maybe(coded, shared.key_bits(several, F.col("sig")), F.col("sig"), "__maybe")
-    alone = marked.filter("NOT __maybe").select("sig", "doc_id", "n", "sample")
-    first = marked.filter("__maybe").groupBy("sig").agg(F.min_by(F.struct("doc_id", "n", "sample"), "doc_id").alias("r"))
-    # written once, so the numbers stay; they share most of their bytes, and so shuffle smaller than signatures
-    rows = alone.unionByName(first.select("sig", "r.doc_id", "r.n", "r.sample"))
-    return shared.written(rows.select(F.monotonically_increasing_id().alias("no"), "*"), "jaccard-classes")
-
-
-def _class_pairs(docs: DataFrame, reps: DataFrame, n: int, threshold: float, sample: int, miss: float) -> DataFrame:
-    """(no_a, no_b, jaccard) of the pairs of different classes."""
-    grams = reps.select("no", F.explode("sample").alias("gram")).select("no", F.shiftrightunsigned("gram", 8 * (8 - GRAM_BYTES)).alias("gram"))
-    # one shuffle both counts the classes of a gram and drops the grams of one class
-    held = grams.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).filter("df > 1")
-    ordered = (
-        held.groupBy("no")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: F.hash(x["gram"])).alias("grams"))
-        .join(reps.select("no", "n"), "no")
-    )
-    exact = F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9))
-    fewest = F.when(F.col("n") / threshold <= sample, exact).otherwise(F.least(exact, F.lit(_sample_need(sample, threshold, miss)), F.col("n")))
-    # grams of no other class come before these in the order, so they use up the prefix first
-    prefix = F.size("grams") - fewest + 1
-    routed = ordered.filter(prefix > 0).select("no", "n", "grams", F.explode(F.slice("grams", F.lit(1), prefix.cast("int"))).alias("gram"))
-    routed = routed.select("gram", "no", "n", "grams").repartition("gram").sortWithinPartitions("gram", "no")
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_gram = _candidates(threshold, sample, miss)
-        out: list[tuple[int, int, int]] = []
-        names = ["no_a", "no_b", "meet"]
-        for gram, rows in _grouped(batches, [1, 2, 3]):
-            if len(rows) > 1:
-                for pair in at_gram(gram, rows):
-                    out.append(pair)
-                    if len(out) >= 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
-                        out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
-
-    pairs = shared.written(routed.mapInArrow(candidates, "no_a long, no_b long, meet long"), "jaccard-candidates")
-    return _verified(docs, reps, pairs, n, threshold)
-
-
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The candidate pairs that reach the threshold, by their whole sets.
-
-    The texts travel, not the sets, which are larger; a set is computed where it is compared.
-    """
-    asked = (
-        pairs.select("meet", F.col("no_a").alias("no"), F.col("no_b").alias("other"))
-        .unionByName(pairs.select("meet", F.col("no_b").alias("no"), F.lit(None).cast("long").alias("other")))
-        .groupBy("no", "meet")
-        .agg(F.collect_list("other").alias("others"))
-    )
-    asked = shared.written(asked.join(reps.select("no", "sig", "doc_id"), "no"), "jaccard-asked")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
-    texts = shared.only_maybe(texts, shared.key_bits(asked, F.col("doc_id")), F.col("doc_id"))
-    gathered = texts.join(asked, "doc_id").select("meet", "no", "sig", "text", "others").repartition("meet").sortWithinPartitions("meet", "no")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, [1, 2, 3, 4]):
-            held: dict[int, np.ndarray] = {}
-            column = pa.array([r[2] for r in rows], pa.string())
-            for a, b in tc.slices(column):
-                grams, off, sig = _sets(column.slice(a, b - a), n)
-                for k in range(b - a):
-                    if sig[k] == rows[a + k][1]:  # another row of the same doc_id may have another text
-                        held[rows[a + k][0]] = grams[off[k] : off[k + 1]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        for batch in batches:
             out = []
-            for no, others in {no: others for no, _, _, others in rows}.items():
-                a = held[no]
-                for other in others:
-                    b = held[other]
-                    at = np.searchsorted(a, b)
-                    same = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-                    out.append((no, other, same / (len(a) + len(b) - same)))
+            for i in range(batch.num_rows):
+                cls, n, k = (batch.column(c)[i].as_py() for c in range(3))
+                item, df, w = (batch.column(c)[i].values.to_numpy() for c in range(3, 6))
+                need, shared_grams = threshold * n - 1e-9, int(w.sum())
+                if shared_grams < need:
+                    continue
+                order = np.lexsort((item, -df.astype(np.int64)))
+                item, w = item[order], w[order]
+                rarer = n - shared_grams + np.cumsum(w[::-1])[::-1] - w  # grams that come before an item, from the rare end
+                out.append((cls, n, k, item, w, item[rarer <= n - need]))
+                if len(out) >= 500:
+                    yield _rows(out, ["cls", "n", "k", "items", "weights", "places"], types)
+                    out = []
             if out:
-                a, b, j = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j)], ["no_a", "no_b", "jaccard"])
+                yield _rows(out, ["cls", "n", "k", "items", "weights", "places"], types)
 
-    return gathered.mapInArrow(compare, "no_a long, no_b long, jaccard double").filter(F.col("jaccard") >= threshold - 1e-12)
+    return whole.mapInArrow(run, "cls long, n int, k long, items array<long>, weights array<int>, places array<long>")
 
 
-def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sample: int = SAMPLE, miss: float = MISS) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b, of all documents whose sets of word n-grams reach the threshold.
+def _work(sets: DataFrame, block_items: int) -> DataFrame:
+    """(task, side, cls, n, k, items, weights): every set with those that it may be linked to.
 
-    A text of fewer than ``n`` words has one gram, all its words.  Null ids, null
-    texts and texts without words are in no pair; repeated rows count once, and
-    rows of one doc_id never pair with one another; other columns are ignored.
+    Side 0 is compared with itself, side 1 with side 2.
     """
-    coded = classes(docs, n, sample)
-    reps = _representatives(coded)
-    found = shared.written(_class_pairs(docs, reps, n, threshold, sample, miss), "jaccard-pairs")
-    member = _members(coded)
-    numbered = member.join(reps.select("sig", "no"), "sig")
-    one, two = numbered.select(F.col("no").alias("no_a"), F.col("ids").alias("x")), numbered.select(F.col("no").alias("no_b"), F.col("ids").alias("y"))
-    several = coded.groupBy("sig").agg(F.count("*").alias("k")).filter("k > 1").select("sig")
-    copies = member.join(several, "sig")
-    within = copies.select("sig", F.col("ids").alias("x")).join(copies.select("sig", F.col("ids").alias("y")), "sig")
-    within = within.select("x", "y", F.lit(1.0).alias("jaccard"))
-    across = found.join(one, "no_a").join(two, "no_b").select("x", "y", "jaccard")
-
-    def spread(lists: DataFrame) -> DataFrame:
-        # members travel as lists, so that what is shuffled doesn't grow with the number of pairs
-        return lists.select(F.explode("x").alias("x"), "y", "jaccard").select("x", F.explode("y").alias("y"), "jaccard")
-
-    ordered = spread(across).filter("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    return spread(within).filter("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), "jaccard").unionByName(ordered)
-
-
-def _members(coded: DataFrame) -> DataFrame:
-    """(sig, ids): the documents of every class, in lists of about LIST_IDS at most."""
-    ids = coded.select("sig", "doc_id").distinct()
-    sizes = ids.groupBy("sig").agg(F.count("*").alias("k")).filter(F.col("k") > LIST_IDS)
-    part = F.pmod(F.xxhash64("doc_id"), F.coalesce(F.ceil(F.col("k") / LIST_IDS), F.lit(1)))
-    return ids.join(sizes, "sig", "left").groupBy("sig", part.alias("part")).agg(F.collect_list("doc_id").alias("ids")).select("sig", "ids")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): every node of the edges (a, b) with the least node that it is connected to.
-
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing
-    changes; the rounds grow with the logarithm of the longest path.
+    at = sets.select("cls", F.explode("places").alias("place"))
+    hub = at.groupBy("place").agg(F.min("cls").alias("hub"), F.count("*").alias("many")).filter("many > 1")
+    roots = stars(at.join(hub, "place").filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")))
+    roots = roots.select(F.col("a").alias("cls"), F.col("b").alias("root"))
+    roots = shared.written(roots.unionByName(roots.select(F.col("root").alias("cls"), "root").distinct()), "jaccard-components")
+    placed = sets.join(roots, "cls")
+    weight = F.sum(F.size("items")).alias("items_in")
+    large = shared.written(placed.groupBy("root").agg(weight).filter(F.col("items_in") > block_items), "jaccard-large")
+    columns = ["cls", "n", "k", "items", "weights"]
+    small = placed.join(large, "root", "left_anti").select(F.col("root").alias("task"), F.lit(0).alias("side"), *columns)
+    if not large.limit(1).count():
+        return small
+    # blocks: by the place that a class shares with most others, a place of many items in several parts
+    inner = roots.join(large, "root").select("cls", "root", "items_in")
+    met = at.join(hub, "place").join(inner.select("cls"), "cls", "left_semi")
+    near = met.groupBy("cls").agg(F.max_by("place", F.struct("many", "place")).alias("key"))
+    keyed = inner.join(near, "cls").join(sets.select("cls", F.size("items").alias("size")), "cls")
+    heavy = keyed.groupBy("root", "key").agg(F.sum("size").alias("key_items")).filter(F.col("key_items") > block_items)
+    light = F.struct(F.lit(None).cast("long").alias("key"), F.pmod(F.xxhash64("key"), F.ceil(F.col("items_in") / block_items)).alias("part"))
+    parts = F.struct(F.col("key"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("key_items") / block_items)).alias("part"))
+    blocks = keyed.join(heavy, ["root", "key"], "left").select("cls", F.xxhash64("root", F.when(F.col("key_items").isNull(), light).otherwise(parts)).alias("block"))
+    blocks = shared.written(blocks, "jaccard-blocks")
+    seen = met.select("cls", "place").join(blocks, "cls").select("place", "block").distinct()
+    other = seen.select("place", F.col("block").alias("other"))
+    both = shared.written(seen.join(other, "place").filter("block <= other").select("block", "other").distinct(), "jaccard-block-pairs")
+    task = F.xxhash64("block", "other").alias("task")
+    one = both.select("block", task, F.when(F.col("block") == F.col("other"), 0).otherwise(1).alias("side"))
+    two = both.filter("block < other").select(F.col("other").alias("block"), task, F.lit(2).alias("side"))
+    sent = blocks.join(one.unionByName(two), "block").select("cls", "task", "side")
+    return small.unionByName(sets.join(sent, "cls").select("task", "side", *columns))
+
+
+def _prepared(docs: DataFrame, n: int, threshold: float, block_items: int) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, cls) of the classes that may have links or copies, and the work (see ``_work``)."""
+    spark = docs.sparkSession
+    texts = _texts(docs)
+    count, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    hot = _hot(texts, count, n) if count else np.zeros(0, np.uint64)
+    ids = shared.written(_candidates(texts, n, threshold, size, hot), "jaccard-documents")
+    some = shared.only_ids(texts, ids, ids.count())
+    members = shared.written(signed(some, n).withColumnRenamed("sig", "cls").distinct(), "jaccard-members")
+    classes = shared.written(members.groupBy("cls").agg(F.max("n").alias("n"), F.count("*").alias("k"), F.min("doc_id").alias("doc_id")), "jaccard-classes")
+    first = shared.only_ids(texts, classes.select("doc_id"), classes.count())
+    part = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = _items(first, n, 6 * part, hot)
+    sets = shared.written(_ordered(rows, classes.select("cls", "n", "k"), threshold), "jaccard-sets")
+    work = _work(sets, block_items)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return members.select("doc_id", "cls"), work.repartition(parts, "task").sortWithinPartitions("task", "side", "cls")
+
+
+def class_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, cls), and (cls, root, links, closest) of every class that is linked to another.
+
+    ``links`` counts the documents of other classes, ``closest`` is the largest
+    similarity to one; ``root`` is a class that it is connected to.
     """
-    links = shared.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while True:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.col("b").alias("x"), "a", "m")
-        new = small.select("a", F.col("m").alias("b")).unionByName(small.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))).distinct()
-        new = shared.written(new, "links")
-        changed = new.join(links, ["a", "b"], "left_anti").limit(1).count() or links.join(new, ["a", "b"], "left_anti").limit(1).count()
-        links = new
-        if not changed:
-            break
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, sample: int = SAMPLE, miss: float = MISS) -> DataFrame:
-    """``docs`` with one document of each group, the one of the least doc_id.
-
-    A group is a connected component of the pairs.  Documents that are in no pair
-    stay, as do those with a null id, a null text or no words.  Rows of one doc_id
-    stay or go together.
+    members, work = _prepared(docs, n, threshold, block_items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in _tasks(batches):
+            sets, a, b, both = _linked(groups, threshold)
+            size = len(sets["cls"])
+            links, closest = np.zeros(size, np.int64), np.zeros(size)
+            np.add.at(links, a, sets["k"][b])
+            np.add.at(links, b, sets["k"][a])
+            alike = both / (sets["n"][a] + sets["n"][b] - both)
+            np.maximum.at(closest, a, alike)
+            np.maximum.at(closest, b, alike)
+            k = links > 0
+            root = sets["cls"][_labels(size, a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[k]) for c in (sets["cls"], root, links, closest)], ["cls", "root", "links", "closest"])
+
+    return members, shared.written(work.mapInArrow(run, "cls long, root long, links long, closest double"), "jaccard-links")
+
+
+def class_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, cls), and every link between two classes as (cls_a, cls_b, jaccard).
+
+    For callers who need the pairs themselves: their number may grow with the square of a group.
+    """
+    members, work = _prepared(docs, n, threshold, block_items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in _tasks(batches):
+            sets, a, b, both = _linked(groups, threshold)
+            alike = both / (sets["n"][a] + sets["n"][b] - both)
+            yield pa.RecordBatch.from_arrays([pa.array(sets["cls"][a]), pa.array(sets["cls"][b]), pa.array(alike)], ["cls_a", "cls_b", "jaccard"])
+
+    return members, work.mapInArrow(run, "cls_a long, cls_b long, jaccard double")
+
+
+def _groups(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(cls, class_id): the least document of everything that a class is connected to; texts of one id are connected."""
+    several = members.groupBy("doc_id").agg(F.min("cls").alias("b"), F.max("cls").alias("m")).filter("b <> m").select("doc_id", "b")
+    same = members.join(several, "doc_id").select(F.col("cls").alias("a"), "b")
+    found = stars(links.select(F.col("cls").alias("a"), F.col("root").alias("b")).unionByName(same))
+    rooted = members.join(found.select(F.col("a").alias("cls"), F.col("b").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return rooted.select("cls", "root").distinct().join(least, "root").select("cls", "class_id")
+
+
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(doc_id, class_id, set_id, n_links, closest) of every document that is linked to another.
+
+    ``class_id`` is the least document of the connected documents, ``set_id`` the
+    least one with an equal set, ``n_links`` the number of documents whose sets
+    reach the threshold with this one, copies included, and ``closest`` the
+    largest similarity among them.  A document without a row has no link.
+
+    A text of fewer than ``n`` words has one gram, all its words.  Null ids, null
+    texts and texts without words have no link, nor has an empty table; repeated
+    rows count once; other columns are ignored.  Texts of any length are taken
+    whole.  Where a doc_id has several texts, each is a document of its own with
+    its own row, and all are in one class.
+    """
+    members, linked = class_links(docs, n, threshold, block_items)
+    sums = linked.groupBy("cls").agg(F.sum("links").alias("links"), F.max("closest").alias("closest"))
+    copies = members.groupBy("cls").agg(F.count("*").alias("k"), F.min("doc_id").alias("set_id"))
+    per_class = copies.join(sums, "cls", "left").withColumn("n_links", F.col("k") - 1 + F.coalesce("links", F.lit(0))).filter("n_links > 0")
+    per_class = per_class.withColumn("closest", F.when(F.col("k") > 1, F.lit(1.0)).otherwise(F.col("closest"))).join(_groups(members, linked), "cls")
+    return members.join(per_class, "cls").select("doc_id", "class_id", "set_id", "n_links", "closest")
+
+
+def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """``docs`` with one document of each class, the one of the least doc_id.
+
+    A class is a connected component of the links.  Documents without links stay,
+    as do those with a null id, a null text or no words.  Rows of one doc_id, which
+    are in one class, stay or go together.
     """
-    coded = classes(docs, n, sample)
-    reps = _representatives(coded)
-    found = shared.written(_class_pairs(docs, reps, n, threshold, sample, miss), "jaccard-pairs")
-    grouped = components(found.select(F.col("no_a").alias("a"), F.col("no_b").alias("b"))).withColumnRenamed("node", "no")
-    root = reps.select("no", "sig", "doc_id").join(grouped, "no", "left").select("sig", "doc_id", F.coalesce("root", "no").alias("root"))
-    keeper = root.groupBy("root").agg(F.min("doc_id").alias("kept_id"))
-    gone = coded.select("doc_id", "sig").join(root.join(keeper, "root").select("sig", "kept_id"), "sig").filter("doc_id <> kept_id").select("doc_id")
+    members, linked = class_links(docs, n, threshold, block_items)
+    gone = members.join(_groups(members, linked), "cls").filter("doc_id <> class_id").select("doc_id")
     return shared.without_ids(docs, shared.written(gone.distinct(), "near-copies"))

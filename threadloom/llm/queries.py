@@ -49,7 +49,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.pairs(shared.table(spark, sf_dir, "documents"))
+    return jaccard_join.links(shared.table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:

@@ -1,61 +1,33 @@
-"""Helpers of this subpackage: the shared folder, cut lineage, bounded key filters."""
+"""Helpers of this subpackage: tables, and key filters of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_path, shared_dir, written
+
+__all__ = ["key_bits", "new_path", "only_ids", "only_maybe", "shared_dir", "table", "unused", "with_maybe", "without_ids", "written"]
+
 #: Slots of the bitmaps that pre-filter scans; this bounds what is broadcast.
 FILTER_BITS = 26
+#: Keys of a bitmap beyond which too many slots would be set for it to filter.
+FILTER_KEYS = 1 << (FILTER_BITS - 2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts in fewer partitions than there are cores, as in one small file, are spread over all cores."""
+    """A table; texts in a single small file, which would be one task, are spread over all cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = {"documents": "doc_id", "pages": "page_id"}.get(name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if key and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(spark.sparkContext.defaultParallelism, key) if key and df.rdd.getNumPartitions() == 1 else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent, a temporary folder is used on a local master (as
-    in tests); a cluster without the setting is refused, since a folder of one
-    machine can't be read by the others.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if found:
-        return str(found).rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="threadloom-"))
-    return shared_dir(spark)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is removed when the JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again.
-
-    The table outlives the loss of any executor, is computed once however often
-    it is read, and cuts the lineage.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column has it, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def key_bits(keys: DataFrame, key: Column, bits: int = FILTER_BITS) -> DataFrame:
@@ -74,18 +46,30 @@ def key_bits(keys: DataFrame, key: Column, bits: int = FILTER_BITS) -> DataFrame
 
 
 def with_maybe(df: DataFrame, bits_df: DataFrame, key: Column, name: str, bits: int = FILTER_BITS) -> DataFrame:
-    """``df`` with the boolean column ``name``: False only where the key is not in the bitmap."""
-    kept = [F.col(f"r.`{c}`") for c in df.columns]
+    """``df`` with the boolean column ``name``, which it must not have: False only where the key is not in the bitmap."""
+    at = unused(df, "slot_of_key")
     slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    rows = df.withColumns({"__word": F.shiftright(slot, 6), "__at": slot.bitwiseAND(F.lit(63)).cast("int")}).alias("r")
-    joined = rows.join(F.broadcast(bits_df).alias("b"), F.col("r.__word") == F.col("b.bit_word"), "left")
-    hit = F.expr("coalesce(shiftrightunsigned(b.bit_mask, r.__at) & 1L, 0L) = 1L")
-    return joined.select(*kept, hit.alias(name))
+    rows = df.withColumn(at, F.struct(F.shiftright(slot, 6).alias("w"), slot.bitwiseAND(F.lit(63)).cast("int").alias("b"))).alias("r")
+    joined = rows.join(F.broadcast(bits_df).alias("b"), F.col(f"r.{at}.w") == F.col("b.bit_word"), "left")
+    hit = F.expr(f"coalesce(shiftrightunsigned(b.bit_mask, r.{at}.b) & 1L, 0L) = 1L")
+    return joined.select(*(F.col(f"r.`{c}`") for c in df.columns), hit.alias(name))
 
 
 def only_maybe(df: DataFrame, bits_df: DataFrame, key: Column, bits: int = FILTER_BITS) -> DataFrame:
     """The rows of ``df`` whose key may be in the bitmap, without a shuffle."""
-    return with_maybe(df, bits_df, key, "__maybe", bits).filter("__maybe").drop("__maybe")
+    name = unused(df, "maybe")
+    return with_maybe(df, bits_df, key, name, bits).filter(F.col(name)).drop(name)
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``, and possibly some others, which the caller must bear.
+
+    The rows pass a bitmap where they stand; for more ids than a bitmap tells
+    apart, they are joined.
+    """
+    if n_ids > FILTER_KEYS:
+        return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return only_maybe(docs, key_bits(ids, F.col("doc_id")), F.col("doc_id"))
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -94,7 +78,8 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     Only rows that pass the bitmap of the dropped ids are shuffled.
     """
     bits_df = key_bits(ids, F.col("doc_id"))
-    marked = with_maybe(docs, bits_df, F.col("doc_id"), "__maybe")
-    sure = marked.filter("NOT __maybe").drop("__maybe")
-    rest = marked.filter("__maybe").drop("__maybe").join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
-    return sure.unionByName(rest.select(*docs.columns))
+    name = unused(docs, "maybe")
+    marked = with_maybe(docs, bits_df, F.col("doc_id"), name)
+    sure = marked.filter(~F.col(name)).drop(name)
+    rest = marked.filter(F.col(name)).drop(name).join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+    return sure.unionByName(rest.select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -36,7 +36,7 @@ words AS (
 """
 
 SQL["op10_jaccard_join"] = f"""
-WITH {_WORDS},
+WITH RECURSIVE {_WORDS},
 grams AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3
         THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
@@ -46,10 +46,20 @@ sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 shared AS (
     SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k
     FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id
-    GROUP BY a.doc_id, b.doc_id)
-SELECT doc_a, doc_b, CAST(k AS DOUBLE) / (x.n + y.n - k) AS jaccard
-FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
-WHERE k >= 0.5 * (x.n + y.n - k)
+    GROUP BY a.doc_id, b.doc_id),
+pairs AS MATERIALIZED (
+    SELECT doc_a, doc_b, CAST(k AS DOUBLE) / (x.n + y.n - k) AS jaccard
+    FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
+    WHERE k >= 0.5 * (x.n + y.n - k)),
+ends AS (SELECT doc_a AS doc_id, doc_b AS other, jaccard FROM pairs UNION ALL SELECT doc_b, doc_a, jaccard FROM pairs),
+reached AS (
+    SELECT doc_id, other FROM ends
+    UNION
+    SELECT r.doc_id, e.other FROM reached r JOIN ends e ON e.doc_id = r.other),
+classes AS (SELECT doc_id, min(other) AS class_id FROM reached GROUP BY doc_id)
+SELECT doc_id, class_id, least(doc_id, coalesce(min(other) FILTER (jaccard = 1.0), doc_id)) AS set_id,
+       count(*) AS n_links, max(jaccard) AS closest
+FROM ends JOIN classes USING (doc_id) GROUP BY doc_id, class_id
 """
 
 _BIGRAMS = r"""CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END"""
