@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.model import CooccurrenceModel, NarrativeModel
-from threadloom.operators import contexts, graph
+from threadloom.operators import contexts, graph, lookup
 from threadloom.operators.filters import GraphFilter
-from threadloom.sources import store
+from threadloom.sources import documents, store
 from threadloom.streaming import incremental
 
 TEXTS = ["Alice met Bob. Carol left.", "Bob saw Alice.", "Carol saw Bob. Alice slept. Dave ran."]
@@ -160,3 +160,68 @@ def test_streaming_counts(spark, tmp_path):
     seen = []
     incremental.ingest(stream.select("doc_id", "text"), lambda df: seen.extend(r["doc_id"] for r in df.select(F.col("doc_id")).collect()), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == [1, 2, 3]
+
+
+def test_every_fit_adds_its_documents(spark):
+    m = CooccurrenceModel(spark, mapper="identity").fit(["Alice met Bob.", "Alice met Bob."]).fit(["Dave ran.", "Alice met Bob."])
+    assert m.tables["documents"].count() == 4 and sorted(r["doc_id"] for r in m.tables["documents"].collect()) == [1, 2, 3, 4]
+    assert {r["label"]: r["frequency"] for r in m.entities.collect()} == {"Alice": 3, "Bob": 3, "Dave": 1}
+    m = CooccurrenceModel(spark).fit(["Alice ran.", "Bob ran."], doc_ids=["x", "y"]).fit(["Carol ran.", "Bob ran."], doc_ids=["z", "y"])
+    assert sorted(r["str_id"] for r in m.tables["documents"].collect()) == ["x", "y", "z"]
+    rows = spark.createDataFrame([("Eve ran.",), ("Eve ran.",)], "text string")
+    m = CooccurrenceModel(spark).fit(documents.documents(rows)).fit(documents.documents(rows))
+    assert m.tables["documents"].count() == 4 == m.tables["documents"].select("doc_id").distinct().count()
+
+
+def test_saved_options_and_saving_over_itself(spark, tmp_path):
+    path = str(tmp_path / "own")
+    CooccurrenceModel(spark, window=None, boundary=r"\n+", mapper="lower").fit(TEXTS).save(path)
+    m = CooccurrenceModel.load(spark, path)
+    assert (m.window, m.boundary, m.options["mapper"]) == (None, r"\n+", "lower")
+    m.save(path, overwrite=True)
+    m.fit(["Zoe ran."]).save(path, overwrite=True)
+    assert CooccurrenceModel.load(spark, path).entities.count() == 5
+    assert CooccurrenceModel.load(spark, path, window=2).window == 2
+
+
+def test_pronouns_stand_for_their_antecedents(spark):
+    def clusters(docs):
+        return docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(0).alias("cluster"), F.lit(s).alias("span_start"), F.lit(e).alias("span_end"), F.lit(t).alias("span_text"), F.lit(p).alias("is_pronoun")) for s, e, t, p in ((0, 5, "Alice", False), (13, 16, "She", True))])).alias("m")).select("doc_id", "m.*")
+
+    m = CooccurrenceModel(spark, coref=clusters, window=1).fit(["Alice slept. She saw Bob. He ran."])
+    assert {r["label"]: r["frequency"] for r in m.entities.collect()} == {"Alice": 2, "Bob": 1, "He": 1}
+    assert [r["label"] for r in m._labels().orderBy("label").collect()] == ["Alice", "Bob", "He"]
+    assert {(r["entity_one"], r["entity_two"]) for r in m.cooccurrences.collect()} == {("Alice", "Bob"), ("Alice", "Alice"), ("Alice", "He"), ("Bob", "He")}
+
+
+def test_exports_and_details(spark):
+    m = NarrativeModel(spark, mapper="lower", predicate_mapper="lower").fit(["Alice met Bob", "ALICE Met Bob"], categories={"genre": ["x", ["y", "x"]]})
+    [t, _] = m.triplets.orderBy("doc_id").collect()
+    assert (t["subject_label"], t["subject_span_text"], t["subject_span_end"], t["predicate_label"], t["object_label"], t["object_span_start"]) == ("ALICE", "Alice", 5, "Met", "Bob", 10)
+    [p, _] = m.tuplets.orderBy("doc_id").collect()
+    assert (p["entity_one_label"], p["entity_one_span_text"], p["entity_two_label"], p["entity_two_span_start"]) == ("ALICE", "Alice", "Bob", 10)
+    [r] = m.relations.collect()
+    assert r["alt_pred_labels"] == ["met"] and r["genre"] == ["x", "y"] and r["subject_entity_id"] == t["subject_entity_id"] and r["predicate_id"] == t["predicate_id"]
+    assert [x["genre"] for x in m.cooccurrences.collect()] == [["x", "y"]] == [x["genre"] for x in m.predicates.collect()]
+    assert sorted(x["genre"] for x in m.documents.collect()) == [["x"], ["x", "y"]]
+    d = m.entity_details([t["subject_entity_id"]]).first()
+    assert (d["label"], d["alt_labels"], d["categories"], d["stats"]["frequency"]) == ("ALICE", ["Alice"], {"genre": ["x", "y"]}, 2)
+    assert m.relation_details().first()["alt_labels"] == ["met"] and m.predicate_details().first()["stats"]["frequency"] == 2
+    assert m.cooccurrence_details().first()["stats"]["pmi"] is not None
+    assert len(m.document(1)["mentions"]) == 2 and len(m.document(1)["tuplets"]) == 1
+    assert [x["n_matched"] for x in m.documents_of([1, 2], limit=1, offset=1).collect()] == [2]
+
+
+def test_long_id_lists(spark):
+    ids = list(range(0, 4000, 2))
+    rows = spark.range(0, 4000)
+    assert lookup.has_id(rows, "id", ids).count() == 2000 == lookup.has_id(rows, "id", ids, wanted=False).count()
+    assert lookup.with_flag(rows, "id", ids, "even").filter("even").count() == 2000
+    assert lookup.page(rows, ["id"], 3, 2).collect() == rows.filter("id BETWEEN 2 AND 4").collect()
+
+
+def test_edges_inside_communities(spark):
+    m = CooccurrenceModel(spark, window=0).fit(["Alice met Bob. Carol met Dave.", "Alice saw Bob."])
+    members, _ = m.find_communities("connected_components")
+    got = {r["community"]: [(e["a"], e["b"]) for e in r["edges"]] for r in m.community_edges(members).collect()}
+    assert got == {1: [(1, 2)], 3: [(3, 4)]}

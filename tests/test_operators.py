@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions.porter2 import stem
+from threadloom.functions.lemma import lemma
 from threadloom.operators import analytics, community, cooccur, dependency, extract, lookup, mapping, stats
+from threadloom.session import arrow_batch_records
 from threadloom.sources import documents
 
 
@@ -153,6 +155,9 @@ PASSIVE = [("The", "DET", "det", 1), ("ball", "NOUN", "nsubjpass", 3), ("was", "
 PREP = [("Mary", "PROPN", "nsubj", 1), ("went", "VERB", "ROOT", 1), ("to", "ADP", "prep", 1), ("London", "PROPN", "pobj", 2)]
 CONJ = [("Ann", "PROPN", "nsubj", 1), ("cooked", "VERB", "ROOT", 1), ("fish", "NOUN", "dobj", 1), ("and", "CCONJ", "cc", 1), ("ate", "VERB", "conj", 1), ("rice", "NOUN", "dobj", 4)]
 NOUN = [("The", "DET", "det", 1), ("king", "NOUN", "nsubj", 4), ("of", "ADP", "prep", 1), ("France", "PROPN", "pobj", 2), ("slept", "VERB", "ROOT", 4)]
+SHE = [("Alice", "PROPN", "nsubj", 1), ("slept", "VERB", "ROOT", 1), ("and", "CCONJ", "cc", 1), ("she", "PRON", "nsubj", 4), ("ate", "VERB", "conj", 1), ("bread", "NOUN", "dobj", 4)]
+WENT = [("Alice", "PROPN", "nsubj", 1), ("stayed", "VERB", "ROOT", 1), ("home", "ADV", "advmod", 1), ("and", "CCONJ", "cc", 1), ("went", "VERB", "conj", 1), ("to", "ADP", "prep", 4), ("Paris", "PROPN", "pobj", 5)]
+FOND = [("Alice", "PROPN", "nsubj", 1), ("fond", "ADJ", "ROOT", 1), ("tea", "NOUN", "dobj", 1)]
 PRON = [("He", "PRON", "nsubj", 1), ("saw", "VERB", "ROOT", 1), ("Rome", "PROPN", "dobj", 1)]
 
 
@@ -165,6 +170,8 @@ PRON = [("He", "PRON", "nsubj", 1), ("saw", "VERB", "ROOT", 1), ("Rome", "PROPN"
         (CONJ, [(0, 1), (2, 3), (5, 6)], [("Ann", "cooked", "fish"), ("Ann", "ate", "rice")]),
         (NOUN, [(0, 2), (3, 4)], [("The king", "of", "France")]),
         (PRON, [(0, 1), (2, 3)], []),
+        (SHE, [(0, 1), (3, 4), (5, 6)], []),
+        (WENT, [(0, 1), (6, 7)], [("Alice", "went", "Paris")]),
     ],
 )
 def test_dependency_rules(spark, rows, chunks, want):
@@ -218,3 +225,49 @@ def test_statistics_and_lookups(spark):
     assert {(r["label"], r["change"], r["side"]) for r in compared.collect()} == {("a", -3, "only_a"), ("b", 3, "shared"), ("c", 1, "only_b")}
     both = spark.range(1).select(stats.combine_category_maps(F.expr("map('x', array('a'))"), F.expr("map('x', array('b'), 'y', array('c'))")).alias("m")).first()["m"]
     assert both == {"x": ["a", "b"], "y": ["c"]}
+
+
+def test_path_patterns_ask_for_the_ancestor(spark):
+    got = dependency.entity_pair_triplets(*sentence(spark, WENT, [(0, 1), (6, 7)])).collect()
+    assert [(r["subj_text"], r["pred_text"], r["obj_text"]) for r in got] == [("Alice", "went", "Paris")]
+    assert dependency.entity_pair_triplets(*sentence(spark, FOND, [(0, 1), (2, 3)])).collect() == []
+
+
+def test_allowed_entities(spark):
+    tokens, chunks = sentence(spark, ACTIVE, [(0, 1), (2, 4)])
+    nouns = dependency.Allowed(named=(1, None), nouns=(2, None))
+    assert dependency.dependency_triplets(tokens, chunks, allowed=nouns).collect() == []  # one token that isn't named
+    named = tokens.withColumn("ent", F.when(F.col("i") == 0, "PERSON"))
+    assert dependency.dependency_triplets(named, chunks, allowed=nouns).count() == 1
+    spans = spark.createDataFrame([(1, True), (1, False), (3, False)], "n_tokens int, is_named boolean")
+    assert extract.allowed_entities(spans).count() == 2 and extract.allowed_entities(spans, named=False, nouns=(1, 3)).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("word", "want"),
+    [
+        ("cats", "cat"), ("boxes", "box"), ("parties", "party"), ("men", "man"), ("went", "go"), ("running", "run"), ("hoping", "hope"), ("hopped", "hop"), ("visited", "visit"),
+        ("studied", "study"), ("glass", "glass"), ("news", "news"), ("analyses", "analysis"), ("Was", "be"), ("king", "king"), ("created", "create"), ("Hobbits", "hobbit"), ("bus", "bus"),
+        ("x1s", "x1s"), ("", ""),
+    ],
+)
+def test_lemmas(word, want):
+    assert lemma(word) == want
+
+
+def test_lemma_mappers(spark):
+    got = mapped(mapping.PRESETS["lemmatization"](labelled(spark, {"the dark lords": 1, "dark lord": 2, "Dark Lord": 1})))
+    assert set(got.values()) == {"dark lord"}
+    got = mapped(mapping.PRESETS["subgram_lemmatization"](labelled(spark, {"dark lord": 20, "dark lords of Mordor": 3})))
+    assert set(got.values()) == {"dark lord"}
+
+
+def test_batch_sizes():
+    assert [arrow_batch_records(n, c) for n, c in ((50, 1), (50, 16), (400, 8), (1999, 4), (4000, 2), (9000, 1))] == [1000, 2000, 1000, 200, 100, 50]
+
+
+@pytest.mark.parametrize("one_task", [10**6, 0])
+def test_components_either_way(spark, one_task):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 50), (60, 100), (7, 7)], "a long, b long")
+    got = {r["a"]: r["b"] for r in community.stars(edges, one_task).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {60: 50, 100: 50}

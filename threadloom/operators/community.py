@@ -139,9 +139,9 @@ def louvain_partition(edges: list[tuple], resolution: float = 1.0) -> dict:
             break
         own = {v: v for v in graph}
         inside = dict(strength)
-        moved, moved_any, rounds = True, False, 0
-        while moved and rounds < 100:
-            moved, rounds = False, rounds + 1
+        moved, moved_any = True, False
+        while moved:
+            moved = False
             for v in sorted(graph):
                 here = own[v]
                 inside[here] -= strength[v]
@@ -149,7 +149,10 @@ def louvain_partition(edges: list[tuple], resolution: float = 1.0) -> dict:
                 for u, w in graph[v].items():
                     if u != v:
                         near[own[u]] = near.get(own[u], 0.0) + w
-                best = max(sorted(near), key=lambda c: (near[c] - resolution * strength[v] * inside.get(c, 0.0) / total, c == here))
+                score = {c: near[c] - resolution * strength[v] * inside.get(c, 0.0) / total for c in sorted(near)}
+                best = max(score, key=score.get)
+                if score[best] <= score[here] + 1e-9:  # a move must gain more than rounding can, so this comes to an end
+                    best = here
                 inside[best] = inside.get(best, 0.0) + strength[v]
                 if best != here:
                     own[v], moved, moved_any = best, True, True
@@ -217,6 +220,12 @@ def metrics(members: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("score", F.col("density") * (1 - F.col("conductance")))
 
 
+def inner_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(community, edges): the edges with both ends in a community, as sorted structs (a, b, weight)."""
+    one, two = members.select("community", F.col("id").alias("a")), members.select("community", F.col("id").alias("b"))
+    return edges.join(one, "a").join(two, ["community", "b"]).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("a", "b", "weight"))).alias("edges"))
+
+
 def modularity(members: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(modularity): one row, of a partition without overlap."""
     one, two = members.select(F.col("id").alias("a"), F.col("community").alias("ca")), members.select(F.col("id").alias("b"), F.col("community").alias("cb"))

@@ -3,13 +3,15 @@
 Parses come as a table of tokens, one row each: (doc_id, sent_id, i, start, end,
 text, pos, dep, head), with ``head`` the position of the head (a root is its own
 head), and a table of noun chunks (doc_id, sent_id, start_i, end_i), end exclusive.
-A sentence is a small tree, so the rules run in Python for each sentence; the
-sentences are spread over the cluster.
+A column ``ent`` of the tokens may hold the kind of a named entity.  A sentence is
+a small tree, so the rules run in Python; sentences are packed into rows, which
+both tables' shuffle on (doc_id, sent_id) brings together, and worked through by
+the Arrow batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -29,12 +31,31 @@ class Token:
     pos: str
     dep: str
     head: int
+    ent: str = ""
+
+
+@dataclass(frozen=True)
+class Allowed:
+    """Which chunks may be entities: all, none, or those of low <= tokens < high (None: no bound).
+
+    ``named`` is for chunks all of whose tokens are of a named entity, ``nouns`` for the others.
+    """
+
+    named: bool | tuple[int, int | None] = True
+    nouns: bool | tuple[int, int | None] = True
+
+    def __call__(self, n_tokens: int, is_named: bool) -> bool:
+        rule = self.named if is_named else self.nouns
+        if isinstance(rule, tuple):
+            return rule[0] <= n_tokens and (rule[1] is None or n_tokens < rule[1])
+        return rule
 
 
 @dataclass
 class Sentence:
     tokens: dict[int, Token]
     chunks: list[tuple[int, int]]
+    allowed: Allowed = Allowed()
     below: dict[int, list[Token]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -45,11 +66,15 @@ class Sentence:
     def children(self, i: int) -> list[Token]:
         return self.below.get(i, [])
 
+    def may_be_entity(self, chunk: tuple[int, int]) -> bool:
+        return self.allowed(chunk[1] - chunk[0], all(self.tokens[k].ent for k in range(*chunk)))
+
+    def is_pronoun(self, chunk: tuple[int, int]) -> bool:
+        return all(self.tokens[k].pos == "PRON" for k in range(*chunk))
+
     def chunk_of(self, i: int) -> tuple[int, int] | None:
-        for s, e in self.chunks:
-            if s <= i < e and not all(self.tokens[k].pos == "PRON" for k in range(s, e)):
-                return s, e
-        return None
+        """The allowed chunk that token i is in; it may be a pronoun."""
+        return next((c for c in self.chunks if c[0] <= i < c[1] and self.may_be_entity(c)), None)
 
     def chunk_head(self, chunk: tuple[int, int]) -> Token:
         inside = range(*chunk)
@@ -95,18 +120,18 @@ def verb_triplets(s: Sentence, use: Constructs = Constructs()) -> list[tuple]:
                 found.append((2, c))
         chunks = [(rank, s.chunk_of(t.i)) for rank, t in found]
         chunks = sorted(((r, c) for r, c in chunks if c), key=lambda x: x[0])
-        if subject and chunks:
-            obj = chunks[0][1]
+        # a pronoun is found like any chunk and then takes its triplet with it: no other subject or object steps in
+        if subject and chunks and not s.is_pronoun(subject) and not s.is_pronoun(obj := chunks[0][1]):
             out.append((obj, v, subject) if passive else (subject, v, obj))
     if use.noun_prepositions:
         for chunk in s.chunks:
-            if s.chunk_of(chunk[0]) != chunk:
+            if s.is_pronoun(chunk) or not s.may_be_entity(chunk):
                 continue
             for prep in s.children(s.chunk_head(chunk).i):
                 if prep.dep == "prep" and prep.text.lower() in PREPOSITIONS:
                     for p in s.children(prep.i):
                         other = s.chunk_of(p.i) if p.dep == "pobj" else None
-                        if other and other != chunk:
+                        if other and other != chunk and not s.is_pronoun(other):
                             out.append((chunk, prep, other))
     return out
 
@@ -122,25 +147,29 @@ def _subject(s: Sentence, verb: Token) -> tuple[int, int] | None:
 class PathPattern:
     """Dependency labels up from the first entity to the common ancestor and down to the second.
 
-    ``predicate`` names the tokens of the predicate: "ancestor", or "ancestor+prep"
-    for the verb and the preposition that leads to the object, or "prep".
+    The ancestor must be one of ``top`` parts of speech.  ``predicate`` names its
+    tokens: the ancestor, the first one "below" it, or "both"; with ``words``, the
+    first one below must be among them.
     """
 
     name: str
     up: tuple[str, ...]
+    top: tuple[str, ...]
     down: tuple[str, ...]
     predicate: str = "ancestor"
     swap: bool = False
+    words: frozenset[str] | None = None
 
 
+_VERB, _NOUN = ("VERB", "AUX"), ("NOUN", "PROPN")
 PATTERNS = (
-    PathPattern("svo", ("nsubj",), ("dobj",)),
-    PathPattern("copula", ("nsubj",), ("attr",)),
-    PathPattern("sv_prep_o", ("nsubj",), ("prep", "pobj"), "ancestor+prep"),
-    PathPattern("svo_conj", ("nsubj",), ("conj", "dobj"), "last_verb"),
-    PathPattern("sv_conj_prep_o", ("nsubj",), ("conj", "prep", "pobj"), "last_verb+prep"),
-    PathPattern("passive", ("nsubjpass",), ("agent", "pobj"), swap=True),
-    PathPattern("np_prep", (), ("prep", "pobj"), "prep"),
+    PathPattern("svo", ("nsubj",), _VERB, ("dobj",)),
+    PathPattern("copula", ("nsubj",), _VERB, ("attr",)),
+    PathPattern("sv_prep_o", ("nsubj",), _VERB, ("prep", "pobj"), "both"),
+    PathPattern("svo_conj", ("nsubj",), _VERB, ("conj", "dobj"), "below"),
+    PathPattern("sv_conj_prep_o", ("nsubj",), _VERB, ("conj", "prep", "pobj"), "below"),
+    PathPattern("passive", ("nsubjpass",), _VERB, ("agent", "pobj"), swap=True),
+    PathPattern("np_prep", (), _NOUN, ("prep", "pobj"), "below", words=PREPOSITIONS),
 )
 
 
@@ -172,13 +201,12 @@ def pair_triplets(s: Sentence, entities: list[tuple[int, int]], patterns: tuple[
             up, top, down = path(s, a, b)
             labels = tuple(s.tokens[k].dep for k in up), tuple(s.tokens[k].dep for k in down)
             for p in patterns:
-                if labels != (p.up, p.down):
+                if labels != (p.up, p.down) or s.tokens[top].pos not in p.top:
                     continue
-                if p.name == "np_prep" and s.tokens[down[0]].text.lower() not in PREPOSITIONS:
+                if p.words is not None and s.tokens[down[0]].text.lower() not in p.words:
                     continue
-                verb = down[0] if p.predicate.startswith("last_verb") else top
-                tokens = {"ancestor": (top,), "last_verb": (verb,), "prep": (down[0],)}.get(p.predicate) or (verb, down[-2])
-                out.add(((y, tokens, x) if p.swap else (x, tokens, y)))
+                tokens = {"ancestor": (top,), "below": (down[0],), "both": (top, down[0])}[p.predicate]
+                out.add((y, tokens, x) if p.swap else (x, tokens, y))
                 break
     return sorted(out, key=lambda t: (t[0], t[1], t[2]))
 
@@ -200,27 +228,35 @@ def _rows(doc_id: int, s: Sentence, found: list[tuple]) -> list[tuple]:
     return sorted(out, key=lambda r: (r[1], r[4], r[7]))
 
 
-def _by_sentence(tokens: DataFrame, chunks: DataFrame, find: Callable[[Sentence], list[tuple]]) -> DataFrame:
-    def run(key: tuple, words: pd.DataFrame, nouns: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        if len(words):
-            own = {int(r.i): Token(int(r.i), int(r.start), int(r.end), r.text, r.pos, r.dep, int(r.head)) for r in words.itertuples()}
-            s = Sentence(own, sorted((int(r.start_i), int(r.end_i)) for r in nouns.itertuples()))
-            rows = _rows(int(words["doc_id"].iloc[0]), s, find(s))
-        return pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in TRIPLET.split(",")])
-
+def _by_sentence(tokens: DataFrame, chunks: DataFrame, find: Callable[[Sentence], list[tuple]], allowed: Allowed) -> DataFrame:
     keys = ["doc_id", "sent_id"]
-    return tokens.groupBy(*keys).cogroup(chunks.groupBy(*keys)).applyInPandas(run, TRIPLET)
+    ent = F.coalesce("ent", F.lit("")) if "ent" in tokens.columns else F.lit("")
+    words = tokens.groupBy(*keys).agg(F.collect_list(F.struct("i", "start", "end", "text", "pos", "dep", "head", ent.alias("ent"))).alias("words"))
+    nouns = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_i", "end_i"))).alias("nouns"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, own, chunked in zip(batch["doc_id"], batch["words"], batch["nouns"]):
+                s = Sentence({w["i"]: Token(**w) for w in own}, [(c["start_i"], c["end_i"]) for c in chunked], allowed)
+                rows += _rows(int(doc_id), s, find(s))
+            yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in TRIPLET.split(",")])
 
+    return words.join(nouns, keys).select("doc_id", "words", "nouns").mapInPandas(run, TRIPLET)
 
-def dependency_triplets(tokens: DataFrame, chunks: DataFrame, use: Constructs = Constructs()) -> DataFrame:
+
+def dependency_triplets(tokens: DataFrame, chunks: DataFrame, use: Constructs = Constructs(), allowed: Allowed = Allowed()) -> DataFrame:
     """Triplets by the verb rules."""
-    return _by_sentence(tokens, chunks, lambda s: verb_triplets(s, use))
+    return _by_sentence(tokens, chunks, lambda s: verb_triplets(s, use), allowed)
+
+
+def entity_pair_triplets(tokens: DataFrame, chunks: DataFrame, patterns: tuple[PathPattern, ...] = PATTERNS, max_tokens: int = 60, max_distance: int = 10, allowed: Allowed = Allowed()) -> DataFrame:
+    """Triplets by path patterns between all pairs of chunks that may be entities and aren't pronouns."""
 
+    def find(s: Sentence) -> list[tuple]:
+        return pair_triplets(s, [c for c in s.chunks if s.may_be_entity(c) and not s.is_pronoun(c)], patterns, max_tokens, max_distance)
 
-def entity_pair_triplets(tokens: DataFrame, chunks: DataFrame, patterns: tuple[PathPattern, ...] = PATTERNS, max_tokens: int = 60, max_distance: int = 10) -> DataFrame:
-    """Triplets by path patterns between all pairs of chunks."""
-    return _by_sentence(tokens, chunks, lambda s: pair_triplets(s, s.chunks, patterns, max_tokens, max_distance))
+    return _by_sentence(tokens, chunks, find, allowed)
 
 
 def extractable(tokens: DataFrame, chunks: DataFrame) -> DataFrame:

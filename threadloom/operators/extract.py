@@ -130,6 +130,15 @@ def greedy_spans(candidates: DataFrame) -> DataFrame:
     return packed.select("doc_id", F.inline(kept)).drop("priority", "longest")
 
 
+def allowed_entities(spans: DataFrame, named: bool | tuple = (1, None), nouns: bool | tuple = (2, None)) -> DataFrame:
+    """Spans (..., n_tokens, is_named) that may be entities: all, none, or those of low <= tokens < high of each kind."""
+
+    def rule(r: bool | tuple) -> Column:
+        return in_length_range(F.col("n_tokens"), *r) if isinstance(r, tuple) else F.lit(r)
+
+    return spans.filter(F.when(F.col("is_named"), rule(named)).otherwise(rule(nouns)))
+
+
 def in_length_range(n_tokens: Column, low: int | None, high: int | None) -> Column:
     """low <= n < high; None leaves a side open."""
     cond = F.lit(True)

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import lookup
+
 
 @dataclass(frozen=True)
 class GraphFilter:
@@ -80,9 +82,10 @@ def entities(nodes: DataFrame, f: GraphFilter, cats: DataFrame | None = None) ->
         + in_range("doc_frequency", f.minimum_node_doc_frequency, f.maximum_node_doc_frequency)
         + _in_time(f)
     )
+    passing = nodes.filter(_all(conditions))
     if f.blacklisted_entity_ids:
-        conditions.append(~F.col("id").isin(*f.blacklisted_entity_ids))
-    return in_categories(nodes.filter(_all(conditions)), cats, ["id"], f.categories)
+        passing = lookup.has_id(passing, "id", list(f.blacklisted_entity_ids), wanted=False)
+    return in_categories(passing, cats, ["id"], f.categories)
 
 
 def edges(rows: DataFrame, f: GraphFilter, cats: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import filters
+from . import filters, lookup
 from .filters import GraphFilter
 
 EDGE = ("id", "source", "target", "label", "total_frequency")
@@ -41,8 +41,7 @@ def induced(nodes: DataFrame, rows: DataFrame, ids: DataFrame, f: GraphFilter, c
     here: the ids are taken as given.  Ties are broken by id.
     """
     focus = list(focus or [])
-    is_focus = F.col("id").isin(*focus) if focus else F.lit(False)
-    chosen = nodes.join(ids.select("id").distinct(), "id", "left_semi").withColumn("__focus", is_focus)
+    chosen = lookup.with_flag(nodes.join(ids.select("id").distinct(), "id", "left_semi"), "id", focus, "__focus")
     if f.limit_nodes:
         chosen = chosen.orderBy(F.desc("__focus"), F.desc("frequency"), "id").limit(f.limit_nodes)
     passing = filters.edges(rows, f, cats)
@@ -50,10 +49,9 @@ def induced(nodes: DataFrame, rows: DataFrame, ids: DataFrame, f: GraphFilter, c
     inner = passing.join(ends.select(F.col("id").alias("source")), "source", "left_semi").join(ends.select(F.col("id").alias("target")), "target", "left_semi")
     found = group_relations(inner) if relations else plain_edges(inner)
     if f.limit_edges:
-        order = [F.desc("total_frequency"), "source", "target"]
-        if focus:
-            order.insert(0, F.desc(F.col("source").isin(*focus).cast("int") + F.col("target").isin(*focus).cast("int")))
-        found = found.orderBy(*order).limit(f.limit_edges)
+        marked = lookup.with_flag(lookup.with_flag(found, "source", focus, "__s"), "target", focus, "__t")
+        hits = F.desc(F.col("__s").cast("int") + F.col("__t").cast("int"))
+        found = marked.orderBy(hits, F.desc("total_frequency"), "source", "target").limit(f.limit_edges).drop("__s", "__t")
     connected = found.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     kept = chosen.join(connected.withColumn("__edge", F.lit(True)), "id", "left").filter("__focus OR __edge")
     return kept.drop("__focus", "__edge"), found
@@ -69,14 +67,14 @@ def top(nodes: DataFrame, rows: DataFrame, f: GraphFilter = GraphFilter(), node_
 
 def subgraph(nodes: DataFrame, rows: DataFrame, ids: list, f: GraphFilter = GraphFilter(), edge_cats: DataFrame | None = None, relations: bool = False) -> tuple[DataFrame, DataFrame]:
     """The induced graph of the given entities; only edge conditions apply."""
-    return induced(nodes, rows, nodes.filter(F.col("id").isin(*ids)), f, edge_cats, relations)
+    return induced(nodes, rows, lookup.has_id(nodes, "id", ids), f, edge_cats, relations)
 
 
 def expand(nodes: DataFrame, rows: DataFrame, focus: list, f: GraphFilter = GraphFilter(), node_cats: DataFrame | None = None, edge_cats: DataFrame | None = None, relations: bool = False) -> tuple[DataFrame, DataFrame]:
     """The focus entities, their neighbours that pass the node conditions, and all edges among them."""
     passing = filters.entities(nodes, f, node_cats).select("id")
     near = filters.edges(rows, f, edge_cats)
-    out = near.filter(F.col("source").isin(*focus)).select(F.col("target").alias("id"))
-    into = near.filter(F.col("target").isin(*focus)).select(F.col("source").alias("id"))
-    ids = out.union(into).distinct().join(passing, "id", "left_semi").union(nodes.filter(F.col("id").isin(*focus)).select("id")).distinct()
+    out = lookup.has_id(near, "source", focus).select(F.col("target").alias("id"))
+    into = lookup.has_id(near, "target", focus).select(F.col("source").alias("id"))
+    ids = out.union(into).distinct().join(passing, "id", "left_semi").union(lookup.has_id(nodes, "id", focus).select("id")).distinct()
     return induced(nodes, rows, ids, f, edge_cats, relations, focus)

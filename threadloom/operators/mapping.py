@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lemma import lemma_column
 from ..functions.porter2 import stem_column
 from ..functions.text import determinerless, rank_key
 from ..sources.scratch import written
@@ -23,6 +24,11 @@ def stem(label: Column) -> Column:
     return stem_column(label)
 
 
+def lemmatize(label: Column) -> Column:
+    """Rule-based lemmas of all words, see ``functions.lemma``."""
+    return lemma_column(label)
+
+
 def fallback(*functions: Callable[[str], str]) -> Normalizer:
     """The first of several Python functions that doesn't raise; RuntimeError if all do."""
 
@@ -100,7 +106,9 @@ PRESETS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "lower": normalized,
     "stemming": lambda labels: normalized(labels, stem),
     "subgram_lower": subgrams,
+    "lemmatization": lambda labels: normalized(labels, lemmatize),
     "subgram_stemming": lambda labels: subgrams(labels, stem),
+    "subgram_lemmatization": lambda labels: subgrams(labels, lemmatize),
 }
 
 

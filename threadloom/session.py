@@ -23,3 +23,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def arrow_batch_records(mean_length: float, cpus: int) -> int:
+    """Rows of an Arrow batch for Python extractors, by the texts' mean length and the cores: 10 to 2000.
+
+    Set it as ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    """
+    base = next((n for bound, n in ((100, 1000), (500, 500), (2000, 200), (5000, 100)) if mean_length < bound), 50)
+    return max(10, min(2000, base * max(1, cpus // 4)))

@@ -21,6 +21,27 @@ DOCUMENTS = T.StructType(
 )
 
 
+#: Ids from here up are hashes of string ids; those below are given or counted.
+HASHED = 1 << 62
+
+
+def hashed_id(text: Column) -> Column:
+    """The doc_id of a string id; null for none."""
+    return F.when(text.isNotNull(), F.xxhash64(text).bitwiseAND(F.lit(HASHED - 1)) + F.lit(HASHED))
+
+
+def numbered(new: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``new`` with ids where doc_id is null, above all given ids of ``new`` and ``known`` that aren't hashes.
+
+    The ids hold only as long as the result isn't computed again: write it.
+    """
+    given = new if known is None else new.select("doc_id").unionByName(known.select("doc_id"))
+    top, blank = given.agg(F.max(F.when(F.col("doc_id") < HASHED, F.col("doc_id"))), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    if not blank:
+        return new
+    return new.withColumn("doc_id", F.coalesce("doc_id", F.lit(max(0, top or 0) + 1) + F.monotonically_increasing_id()))
+
+
 def _no_metadata() -> Column:
     return F.create_map().cast("map<string,string>")
 
@@ -28,18 +49,19 @@ def _no_metadata() -> Column:
 def documents(df: DataFrame, text: str = "text", doc_id: str | None = None, timestamp: str | None = None, ordinal: str | None = None, categories: list[str] | Column | None = None, metadata: list[str] | None = None, metadata_map: str | None = None) -> DataFrame:
     """A table of DOCUMENTS from the columns of ``df``.
 
-    Integer ids become doc_id; string ids become str_id and doc_id their hash, so
-    that it needs no order of all rows; without ids the hash of the text serves.
-    ``categories`` names columns of strings or arrays of strings.
+    Integer ids become doc_id; string ids become str_id and doc_id their hash from
+    HASHED up, the same for the same string in any batch.  Without ids doc_id is
+    null, and every row is a document of its own, equal texts too; fitting a model
+    numbers them.  ``categories`` names columns of strings or arrays of strings.
     """
     kinds = dict(df.dtypes)
     number = doc_id is not None and kinds[doc_id] in ("tinyint", "smallint", "int", "bigint")
     if doc_id is None:
-        key, text_id = F.xxhash64(text), F.lit(None).cast("string")
+        key, text_id = F.lit(None).cast("long"), F.lit(None).cast("string")
     elif number:
         key, text_id = F.col(doc_id).cast("long"), F.lit(None).cast("string")
     else:
-        key, text_id = F.xxhash64(doc_id), F.col(doc_id).cast("string")
+        key, text_id = hashed_id(F.col(doc_id).cast("string")), F.col(doc_id).cast("string")
     if isinstance(categories, list):
         cats = category_map({c: F.col(c) if kinds[c].startswith("array") else F.when(F.col(c).isNotNull(), F.array(F.col(c).cast("string"))) for c in categories})
     else:
@@ -90,8 +112,11 @@ def normalize_categories(categories: Any, n_docs: int) -> list[dict[str, list[st
     return [{"category": values(c)} for c in categories]
 
 
-def from_lists(spark: SparkSession, docs: list[str], doc_ids: list | None = None, timestamps: list | None = None, timestamps_ordinal: list[int] | None = None, categories: Any = None, metadata: list[dict] | None = None) -> DataFrame:
-    """A table of DOCUMENTS from parallel lists, which must be of one length."""
+def from_lists(spark: SparkSession, docs: list[str], doc_ids: list | None = None, timestamps: list | None = None, timestamps_ordinal: list[int] | None = None, categories: Any = None, metadata: list[dict] | None = None, first_id: int = 1) -> DataFrame:
+    """A table of DOCUMENTS from parallel lists, which must be of one length.
+
+    Without ids the documents are numbered from ``first_id``; see ``documents`` for string ids.
+    """
     for name, values in (("doc_ids", doc_ids), ("timestamps", timestamps), ("timestamps_ordinal", timestamps_ordinal), ("metadata", metadata)):
         if values is not None and len(values) != len(docs):
             raise ValueError(f"{name} must be as many as documents")
@@ -102,11 +127,12 @@ def from_lists(spark: SparkSession, docs: list[str], doc_ids: list | None = None
         t = timestamps[k] if timestamps else None
         rows.append(
             (
-                doc_ids[k] if doc_ids and not strings else k + 1, text, str(doc_ids[k]) if strings else None, t.date() if hasattr(t, "date") else t,
+                None if strings else doc_ids[k] if doc_ids else first_id + k, text, str(doc_ids[k]) if strings else None, t.date() if hasattr(t, "date") else t,
                 timestamps_ordinal[k] if timestamps_ordinal else None, cats[k], {m: str(v) for m, v in metadata[k].items()} if metadata else {},
             )
         )
-    return spark.createDataFrame(rows, DOCUMENTS)
+    out = spark.createDataFrame(rows, DOCUMENTS)
+    return out.withColumn("doc_id", hashed_id(F.col("str_id"))) if strings else out
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = "text string, id string, timestamp string, timestamp_ordinal int, category string, metadata map<string,string>") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 SUFFIX = ".model"
+OPTIONS = "options"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -21,8 +24,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def save(tables: dict[str, DataFrame], path: str, overwrite: bool = False) -> str:
-    """Write every table below ``path``; FileExistsError if it exists and isn't to be overwritten.
+def save(tables: dict[str, DataFrame], path: str, overwrite: bool = False, options: dict | None = None) -> str:
+    """Write every table and the options below ``path``; FileExistsError if it exists and isn't to be overwritten.
+
+    Tables that were read from ``path`` itself must be loaded again afterwards.
 
     The tables are written beside it and put in its place at the end, so a failed
     save leaves what was there.
@@ -36,6 +41,7 @@ def save(tables: dict[str, DataFrame], path: str, overwrite: bool = False) -> st
     fs.delete(fresh, True)
     for name, df in tables.items():
         df.write.parquet(f"{path}.new/{name}")
+    spark.createDataFrame([(json.dumps(options or {}),)], "options string").coalesce(1).write.parquet(f"{path}.new/{OPTIONS}")
     fs.delete(target, True)
     fs.rename(fresh, target)
     return path
@@ -47,7 +53,13 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         raise FileNotFoundError(path)
-    return {s.getPath().getName(): spark.read.parquet(s.getPath().toString()) for s in fs.listStatus(p) if s.isDirectory()}
+    return {s.getPath().getName(): spark.read.parquet(s.getPath().toString()) for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName() != OPTIONS}
+
+
+def load_options(spark: SparkSession, path: str) -> dict:
+    """The options that a model was saved with; none if there is no model."""
+    fs, p = _fs(spark, f"{with_suffix(path)}/{OPTIONS}")
+    return json.loads(spark.read.parquet(p.toString()).first()["options"]) if fs.exists(p) else {}
 
 
 def open_model(spark: SparkSession, path: str, on_existing: str = "stop") -> dict[str, DataFrame]:
