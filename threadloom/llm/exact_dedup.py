@@ -55,11 +55,13 @@ def drop_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFr
     stays is settled by the order of their other columns as JSON.
     """
     bits_df, key = _keyed(docs, prefix_chars)
-    marked = shared.with_maybe(docs, bits_df, F.when(F.col("text").isNotNull(), key), "__maybe")
-    sure = marked.filter("text IS NULL OR NOT __maybe").select(*docs.columns)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    name = shared.unused(docs, "maybe")
+    marked = shared.with_maybe(docs, bits_df, F.when(F.col("text").isNotNull(), key), name)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    sure = marked.filter(F.col("text").isNull() | ~F.col(name)).select(*columns)
+    row = F.struct(*columns)
     first = (
-        marked.filter("text IS NOT NULL AND __maybe")
+        marked.filter(F.col("text").isNotNull() & F.col(name))
         .select(
             F.unhex(F.sha2("text", 256)).alias("__digest"),
             F.octet_length("text").alias("__size"),
@@ -69,4 +71,4 @@ def drop_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFr
         .groupBy("__digest", "__size")
         .agg(F.min_by("__row", "__order").alias("__row"))
     )
-    return sure.unionByName(first.select("__row.*").select(*docs.columns))
+    return sure.unionByName(first.select("__row.*").select(*columns))
