@@ -14,14 +14,15 @@ join is exact over whole sets:
    become one item that weighs as much as their number.  Items are put in a
    global order, those of most classes first.
 3. *Components.*  Two sets that reach the threshold share an item among the
-   rarest ``n - threshold * n + 1`` grams of each.  Classes that share such an
-   item are connected; what isn't connected has no link.
+   rarest ``n - threshold * n + 1`` grams of each, their place, and their sizes
+   are near.  Classes that share a place with another of near size are
+   connected; what isn't connected has no link.
 4. *Prefix trees.*  The sets of a component, in the global order, form a trie,
    whose common paths all sets share.  All of them traverse it together, a level
    at a time, carrying the overlap so far; a subtree is left as soon as its
    remaining length can't lift the overlap to what the threshold asks for, or
    its set sizes exclude it.  A component of more than BLOCK_ITEMS items is cut
-   into blocks, and those pairs of blocks that share such an item are joined.
+   into blocks of like size, and the pairs of blocks that share a place are joined.
 
 Grams that are in a large share of a sample of documents (boilerplate) aren't
 sent in step 1 and 2 but known to all tasks; this decides who counts them, never
@@ -53,6 +54,8 @@ SPARE_BITS = 7
 #: A gram in one of HOT_SHARE documents, by a sample of HOT_SAMPLE, is known to all tasks.  There are at most
 #: HOT_SHARE times as many as a document has grams on average, whatever the number of documents.
 HOT_SAMPLE, HOT_SHARE = 4096, 64
+#: Levels of size that two sets at the threshold may be apart.
+LEVELS = 5
 #: Items of a trie beyond which a component is joined in blocks.
 BLOCK_ITEMS = 1 << 17
 #: Entries of a traversal's frontier, and bytes of its membership table, at once.
@@ -534,36 +537,53 @@ def _ordered(rows: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return whole.mapInArrow(run, "cls long, n int, k long, items array<long>, weights array<int>, places array<long>")
 
 
-def _work(sets: DataFrame, block_items: int) -> DataFrame:
+def _components(at: DataFrame) -> DataFrame:
+    """(cls, root) of the classes that share a place with one whose size is near enough.
+
+    ``at`` has (cls, place, level).  The classes of one place and level are linked
+    to the least of them, and these from level to level over gaps of LEVELS at most.
+    """
+    hub = at.groupBy("place", "level").agg(F.min("cls").alias("hub"))
+    ladder = hub.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("level", "hub"))).alias("steps"))  # levels are few, whatever the place
+    steps = F.transform("steps", lambda x, i: F.struct(x["hub"].alias("b"), F.get("steps", i + 1)["hub"].alias("a"), (F.get("steps", i + 1)["level"] - x["level"]).alias("gap")))
+    up = ladder.select(F.explode(steps).alias("s")).filter(F.col("s.gap") <= LEVELS).select("s.a", "s.b")
+    same = at.join(hub, ["place", "level"]).filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+    roots = stars(same.unionByName(up).filter("a <> b")).select(F.col("a").alias("cls"), F.col("b").alias("root"))
+    return shared.written(roots.unionByName(roots.select(F.col("root").alias("cls"), "root").distinct()), "jaccard-components")
+
+
+def _work(sets: DataFrame, threshold: float, block_items: int) -> DataFrame:
     """(task, side, cls, n, k, items, weights): every set with those that it may be linked to.
 
     Side 0 is compared with itself, side 1 with side 2.
     """
-    at = sets.select("cls", F.explode("places").alias("place"))
-    hub = at.groupBy("place").agg(F.min("cls").alias("hub"), F.count("*").alias("many")).filter("many > 1")
-    roots = stars(at.join(hub, "place").filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")))
-    roots = roots.select(F.col("a").alias("cls"), F.col("b").alias("root"))
-    roots = shared.written(roots.unionByName(roots.select(F.col("root").alias("cls"), "root").distinct()), "jaccard-components")
+    step = max(np.log(1 / threshold) / (LEVELS - 1), 0.01)  # sets that can reach the threshold are LEVELS levels apart at most
+    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step))).cast("int").alias("level")
+    at = sets.select("cls", level, F.explode("places").alias("place"))
+    roots = _components(at)
     placed = sets.join(roots, "cls")
-    weight = F.sum(F.size("items")).alias("items_in")
-    large = shared.written(placed.groupBy("root").agg(weight).filter(F.col("items_in") > block_items), "jaccard-large")
+    large = shared.written(placed.groupBy("root").agg(F.sum(F.size("items")).alias("all")).filter(F.col("all") > block_items).select("root"), "jaccard-large")
     columns = ["cls", "n", "k", "items", "weights"]
     small = placed.join(large, "root", "left_anti").select(F.col("root").alias("task"), F.lit(0).alias("side"), *columns)
     if not large.limit(1).count():
         return small
-    # blocks: by the place that a class shares with most others, a place of many items in several parts
-    inner = roots.join(large, "root").select("cls", "root", "items_in")
-    met = at.join(hub, "place").join(inner.select("cls"), "cls", "left_semi")
-    near = met.groupBy("cls").agg(F.max_by("place", F.struct("many", "place")).alias("key"))
+    # blocks hold sets of one level that share a place: that which a class shares with most others; a place of many items is cut
+    inner = roots.join(large, "root")
+    met = at.join(inner.select("cls"), "cls", "left_semi")
+    many = met.groupBy("place").agg(F.count("*").alias("many"))
+    near = met.join(many, "place").groupBy("cls", "level").agg(F.max_by("place", F.struct("many", "place")).alias("key"))
     keyed = inner.join(near, "cls").join(sets.select("cls", F.size("items").alias("size")), "cls")
-    heavy = keyed.groupBy("root", "key").agg(F.sum("size").alias("key_items")).filter(F.col("key_items") > block_items)
-    light = F.struct(F.lit(None).cast("long").alias("key"), F.pmod(F.xxhash64("key"), F.ceil(F.col("items_in") / block_items)).alias("part"))
-    parts = F.struct(F.col("key"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("key_items") / block_items)).alias("part"))
-    blocks = keyed.join(heavy, ["root", "key"], "left").select("cls", F.xxhash64("root", F.when(F.col("key_items").isNull(), light).otherwise(parts)).alias("block"))
+    by_key = keyed.groupBy("root", "level", "key").agg(F.sum("size").alias("key_items"))
+    by_level = by_key.groupBy("root", "level").agg(F.sum("key_items").alias("level_items"))
+    sized = keyed.join(by_key, ["root", "level", "key"]).join(by_level, ["root", "level"])
+    light = F.struct(F.lit(None).cast("long").alias("key"), F.pmod(F.xxhash64("key"), F.ceil(F.col("level_items") / block_items)).alias("part"))
+    cut = F.struct(F.col("key"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("key_items") / block_items)).alias("part"))
+    blocks = sized.select("cls", "level", F.xxhash64("root", "level", F.when(F.col("key_items") <= block_items, light).otherwise(cut)).alias("block"))
     blocks = shared.written(blocks, "jaccard-blocks")
-    seen = met.select("cls", "place").join(blocks, "cls").select("place", "block").distinct()
-    other = seen.select("place", F.col("block").alias("other"))
-    both = shared.written(seen.join(other, "place").filter("block <= other").select("block", "other").distinct(), "jaccard-block-pairs")
+    seen = met.select("cls", "place").join(blocks, "cls").select("place", "level", "block").distinct()
+    other = seen.select("place", F.col("level").alias("other_level"), F.col("block").alias("other"))
+    both = seen.join(other, "place").filter((F.col("block") <= F.col("other")) & (F.abs(F.col("level") - F.col("other_level")) <= LEVELS))
+    both = shared.written(both.select("block", "other").distinct(), "jaccard-block-pairs")
     task = F.xxhash64("block", "other").alias("task")
     one = both.select("block", task, F.when(F.col("block") == F.col("other"), 0).otherwise(1).alias("side"))
     two = both.filter("block < other").select(F.col("other").alias("block"), task, F.lit(2).alias("side"))
@@ -585,7 +605,7 @@ def _prepared(docs: DataFrame, n: int, threshold: float, block_items: int) -> tu
     part = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = _items(first, n, 6 * part, hot)
     sets = shared.written(_ordered(rows, classes.select("cls", "n", "k"), threshold), "jaccard-sets")
-    work = _work(sets, block_items)
+    work = _work(sets, threshold, block_items)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return members.select("doc_id", "cls"), work.repartition(parts, "task").sortWithinPartitions("task", "side", "cls")
 
