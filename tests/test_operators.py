@@ -1,6 +1,8 @@
 """Extraction, mapping, dependency rules, sources and analyses on small inputs."""
 
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -271,3 +273,25 @@ def test_components_either_way(spark, one_task):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 50), (60, 100), (7, 7)], "a long, b long")
     got = {r["a"]: r["b"] for r in community.stars(edges, one_task).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {60: 50, 100: 50}
+
+
+def test_one_text_of_very_many_mentions(spark):
+    """Extraction takes time in proportion to the text."""
+    n = 200_000
+    text = " ".join(f"Name{i % 977} went. " if i % 3 else "Name" for i in range(n))
+    df = docs(spark, text)
+    start = time.monotonic()
+    assert cooccur.placed_mentions(df).count() == n
+    assert extract.mentions(df, extract.regex_extractor(r"went")).count() == n - (n + 2) // 3
+    assert time.monotonic() - start < 150  # over an hour if it were quadratic
+
+
+def test_spans_are_taken_in_order(spark):
+    rng = random.Random(4)
+    rows = [(d, s, s + rng.randrange(1, 12), rng.randrange(1, 5), rng.randrange(2)) for d in range(3) for s in (rng.randrange(300) for _ in range(120))]
+    kept = set()
+    for d, s, e, n, p in sorted(set(rows), key=lambda r: (r[0], r[4], -r[3], r[1], r[2])):
+        if not any(x == d and s < f and b < e for x, b, f in kept):
+            kept.add((d, s, e))
+    got = extract.greedy_spans(spark.createDataFrame(rows, "doc_id long, span_start int, span_end int, n_tokens int, priority int"))
+    assert sorted(map(tuple, got.select("doc_id", "span_start", "span_end").collect())) == sorted(kept)

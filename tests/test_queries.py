@@ -66,6 +66,6 @@ def test_stemming_and_louvain_queries(spark):
 
 def test_pairs_of_documents_are_whole(spark):
     q = catalog.queries()
-    pairs = q["document_cooccurrences_all"](spark, FOLDER)
+    pairs = q["document_cooccurrences"](spark, FOLDER)
     assert pairs.filter("frequency = 1").count() > 0
     assert pairs.agg({"frequency": "sum"}).first()[0] == q["document_tuplets"](spark, FOLDER).count()

@@ -17,6 +17,43 @@ def _sql(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
+#: Elements that a fold takes at a time: appending copies an array, so one array for all would cost the square of a text's elements.
+BLOCK = 1024
+
+
+def _blocks(array: str) -> str:
+    """The elements of an array expression, which is computed once, in arrays of BLOCK."""
+    return f"""transform(array({array}), xs -> transform(sequence(0, cast(ceil(greatest(size(xs), 1) / {BLOCK}) AS INT) - 1), b -> slice(xs, b * {BLOCK} + 1, {BLOCK})))[0]"""
+
+
+def folded(array: str, kind: str, item: str, width: str, wanted: str) -> str:
+    """SQL: an array of ``item`` (of type ``kind``) for the elements p of ``array`` that are ``wanted``.
+
+    ``item`` may use acc.at, the sum of ``width`` over the elements before p.
+    """
+    return f"""aggregate({_blocks(array)},
+        named_struct('at', 0, 'outs', cast(array() AS array<{kind}>)),
+        (done, block) -> aggregate(block,
+            named_struct('at', done.at, 'out', cast(array() AS {kind})),
+            (acc, p) -> named_struct('at', acc.at + {width}, 'out', if({wanted}, array_append(acc.out, {item}), acc.out)),
+            acc -> named_struct('at', acc.at, 'outs', if(size(acc.out) = 0, done.outs, array_append(done.outs, acc.out)))),
+        done -> flatten(done.outs))"""
+
+
+def pieces(text: str, pattern: str) -> str:
+    """SQL: structs (piece, gap) of the text between the matches of a pattern and the match that follows."""
+    return f"zip_with(split({text}, '{_sql(pattern)}'), regexp_extract_all({text}, '({_sql(pattern)})', 1), (c, g) -> named_struct('piece', c, 'gap', g))"
+
+
+_PIECE_WIDTH = "length(p.piece) + coalesce(length(p.gap), 0)"
+
+
+def matches(text: str, pattern: str) -> Column:
+    """array<struct<span_start, span_end, span_text>>: all matches of a pattern."""
+    item = "named_struct('span_start', acc.at + length(p.piece), 'span_end', acc.at + length(p.piece) + length(p.gap), 'span_text', p.gap)"
+    return F.expr(folded(pieces(text, pattern), _MENTION, item, _PIECE_WIDTH, "p.gap IS NOT NULL"))
+
+
 def capitalized_mentions(text: str = "text") -> Column:
     """array<struct<span_start, span_end, span_text>>: tokens whose stripped form begins with an upper-case letter.
 
@@ -25,36 +62,15 @@ def capitalized_mentions(text: str = "text") -> Column:
     """
     # the text is cut before such tokens only, so the fold has one step for each mention, not for each word
     start = "[" + STRIPPED + "]*\\\\p{Lu}"
-    return F.expr(
-        f"""aggregate(
-            split({text}, '(?<!\\\\S)(?={start})'),
-            named_struct('at', 0, 'out', cast(array() AS {_MENTION})),
-            (acc, p) -> named_struct(
-                'at', acc.at + length(p),
-                'out', if(p RLIKE '^{start}',
-                    array_append(acc.out, named_struct(
-                        'span_start', acc.at,
-                        'span_end', acc.at + length(trim(BOTH '{STRIPPED}' FROM regexp_extract(p, '^\\\\S+', 0))),
-                        'span_text', trim(BOTH '{STRIPPED}' FROM regexp_extract(p, '^\\\\S+', 0)))),
-                    acc.out)),
-            acc -> acc.out)"""
-    )
+    word = f"trim(BOTH '{STRIPPED}' FROM regexp_extract(p, '^\\\\S+', 0))"
+    item = f"named_struct('span_start', acc.at, 'span_end', acc.at + length({word}), 'span_text', {word})"
+    return F.expr(folded(f"split({text}, '(?<!\\\\S)(?={start})')", _MENTION, item, "length(p)", f"p RLIKE '^{start}'"))
 
 
 def chunk_bounds(text: str = "text", boundary: str = BOUNDARY) -> Column:
     """array<struct<chunk_start, chunk_end>>: the text between boundary matches, empty chunks dropped."""
-    return F.expr(
-        f"""filter(aggregate(
-            split({text}, '{_sql(boundary)}'),
-            named_struct('at', 0, 'k', 0, 'gaps', regexp_extract_all({text}, '({_sql(boundary)})', 1),
-                'out', cast(array() AS array<struct<chunk_start:int,chunk_end:int>>)),
-            (acc, c) -> named_struct(
-                'at', acc.at + length(c) + coalesce(length(get(acc.gaps, acc.k)), 0),
-                'k', acc.k + 1,
-                'gaps', acc.gaps,
-                'out', array_append(acc.out, named_struct('chunk_start', acc.at, 'chunk_end', acc.at + length(c)))),
-            acc -> acc.out), c -> c.chunk_end > c.chunk_start)"""
-    )
+    item = "named_struct('chunk_start', acc.at, 'chunk_end', acc.at + length(p.piece))"
+    return F.expr(folded(pieces(text, boundary), "array<struct<chunk_start:int,chunk_end:int>>", item, _PIECE_WIDTH, "length(p.piece) > 0"))
 
 
 def mentions_in_chunks(mentions: str = "mentions", chunks: str = "chunks") -> Column:
@@ -65,20 +81,24 @@ def mentions_in_chunks(mentions: str = "mentions", chunks: str = "chunks") -> Co
     """
     event = "array<struct<at:int,kind:int,until:int,number:int,label:string>>"
     placed = "array<struct<chunk:int,span_start:int,span_end:int,span_text:string>>"
+    events = f"""sort_array(cast(concat(
+        transform({chunks}, (c, i) -> named_struct('at', c.chunk_start, 'kind', 0, 'until', c.chunk_end, 'number', i, 'label', '')),
+        transform({mentions}, m -> named_struct('at', m.span_start, 'kind', 1, 'until', m.span_end, 'number', -1, 'label', m.span_text))) AS {event}))"""
     return F.expr(
-        f"""aggregate(
-            array_sort(cast(concat(
-                transform({chunks}, (c, i) -> named_struct('at', c.chunk_start, 'kind', 0, 'until', c.chunk_end, 'number', i, 'label', '')),
-                transform({mentions}, m -> named_struct('at', m.span_start, 'kind', 1, 'until', m.span_end, 'number', -1, 'label', m.span_text))) AS {event})),
-            named_struct('chunk', -1, 'until', -1, 'placed', cast(array() AS {placed}), 'before', cast(array() AS array<int>)),
-            (acc, e) -> if(e.kind = 0,
-                named_struct('chunk', e.number, 'until', e.until, 'placed', acc.placed, 'before', array_append(acc.before, size(acc.placed))),
-                if(e.until <= acc.until,
-                    named_struct('chunk', acc.chunk, 'until', acc.until,
-                        'placed', array_append(acc.placed, named_struct('chunk', acc.chunk, 'span_start', e.at, 'span_end', e.until, 'span_text', e.label)),
-                        'before', acc.before),
-                    acc)),
-            acc -> named_struct('placed', acc.placed, 'before', acc.before))"""
+        f"""aggregate({_blocks(events)},
+            named_struct('chunk', -1, 'until', -1, 'n', 0, 'placed', cast(array() AS array<{placed}>), 'before', cast(array() AS array<array<int>>)),
+            (done, block) -> aggregate(block,
+                named_struct('chunk', done.chunk, 'until', done.until, 'placed', cast(array() AS {placed}), 'before', cast(array() AS array<int>)),
+                (acc, e) -> if(e.kind = 0,
+                    named_struct('chunk', e.number, 'until', e.until, 'placed', acc.placed, 'before', array_append(acc.before, done.n + size(acc.placed))),
+                    if(e.until <= acc.until,
+                        named_struct('chunk', acc.chunk, 'until', acc.until,
+                            'placed', array_append(acc.placed, named_struct('chunk', acc.chunk, 'span_start', e.at, 'span_end', e.until, 'span_text', e.label)),
+                            'before', acc.before),
+                        acc)),
+                acc -> named_struct('chunk', acc.chunk, 'until', acc.until, 'n', done.n + size(acc.placed),
+                    'placed', array_append(done.placed, acc.placed), 'before', array_append(done.before, acc.before))),
+            done -> named_struct('placed', flatten(done.placed), 'before', flatten(done.before)))"""
     )
 
 

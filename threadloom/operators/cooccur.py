@@ -9,9 +9,9 @@ from ..functions import text as tx
 from .extract import Extractor, capitalized, exploded
 
 
-def _swept(docs: DataFrame, extractor: Extractor, boundary: str) -> DataFrame:
-    base = docs.select("doc_id", extractor().alias("mentions"), tx.chunk_bounds("text", boundary).alias("chunks"))
-    return base.select("doc_id", "chunks", tx.mentions_in_chunks().alias("swept"))
+def _swept(docs: DataFrame, extractor: Extractor, boundary: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    base = docs.select("doc_id", *keep, extractor().alias("mentions"), tx.chunk_bounds("text", boundary).alias("chunks"))
+    return base.select("doc_id", *keep, "chunks", tx.mentions_in_chunks().alias("swept"))
 
 
 def placed_mentions(docs: DataFrame, extractor: Extractor = capitalized, boundary: str = tx.BOUNDARY) -> DataFrame:
@@ -19,9 +19,11 @@ def placed_mentions(docs: DataFrame, extractor: Extractor = capitalized, boundar
     return _swept(docs, extractor, boundary).select("doc_id", F.col("swept.placed").alias("__placed")).transform(exploded, "__placed", "span_start")
 
 
-def window_tuplets(docs: DataFrame, window: int | None = 3, extractor: Extractor = capitalized, boundary: str = tx.BOUNDARY) -> DataFrame:
+def window_tuplets(docs: DataFrame, window: int | None = 3, extractor: Extractor = capitalized, boundary: str = tx.BOUNDARY, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pairs within a chunk and with the next ``window`` chunks, with their context.
 
+    ``keep`` names columns of the documents to carry along.
+
     (doc_id, one_start, one_end, one_text, two_start, two_end, two_text, context_start,
     context_end), the first mention of the text first.  None pairs within chunks only.
 
@@ -32,7 +34,7 @@ def window_tuplets(docs: DataFrame, window: int | None = 3, extractor: Extractor
     window = 0 if window is None else window
     if window < 0:
         raise ValueError("window must not be negative")
-    pairs = _swept(docs, extractor, boundary).select("doc_id", tx.window_pairs(window).alias("__pairs"))
+    pairs = _swept(docs, extractor, boundary, keep).select("doc_id", *keep, tx.window_pairs(window).alias("__pairs"))
     return exploded(pairs, "__pairs", "one_start")
 
 

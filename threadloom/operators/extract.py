@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.scratch import written
 
 SPANS = "array<struct<span_start:int,span_end:int,span_text:string>>"
 #: An extractor is a column of SPANS computed from the column ``text``.
@@ -22,19 +26,7 @@ def capitalized() -> Column:
 def regex_extractor(pattern: str) -> Extractor:
     """Mentions are the matches of a pattern."""
 
-    def spans() -> Column:
-        p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-        return F.expr(
-            f"""aggregate(split(text, '{p}'),
-                named_struct('at', 0, 'k', 0, 'hits', regexp_extract_all(text, '({p})', 1), 'out', cast(array() AS {SPANS})),
-                (acc, c) -> named_struct(
-                    'at', acc.at + length(c) + coalesce(length(get(acc.hits, acc.k)), 0), 'k', acc.k + 1, 'hits', acc.hits,
-                    'out', if(acc.k < size(acc.hits), array_append(acc.out, named_struct('span_start', acc.at + length(c),
-                        'span_end', acc.at + length(c) + length(acc.hits[acc.k]), 'span_text', acc.hits[acc.k])), acc.out)),
-                acc -> acc.out)"""
-        )
-
-    return spans
+    return lambda: tx.matches("text", pattern)
 
 
 def gazetteer_extractor(names: list[str]) -> Extractor:
@@ -60,10 +52,15 @@ def python_extractor(find: Callable[[str], list[tuple[int, int, str]]]) -> Extra
     return spans
 
 
-def mentions(docs: DataFrame, extractor: Extractor = capitalized) -> DataFrame:
-    """(doc_id, span_start, span_end, span_text), each span of a document once; a map."""
-    spans = F.array_distinct(F.coalesce(extractor(), F.array().cast(SPANS)))
-    return exploded(docs.select("doc_id", spans.alias("__spans")), "__spans", "span_start")
+def mentions(docs: DataFrame, extractor: Extractor = capitalized, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, span_start, span_end, span_text), each span of a document once; a map.
+
+    ``keep`` names columns of the documents to carry along, which spares a later join.
+    """
+    found = F.sort_array(F.coalesce(extractor(), F.array().cast(SPANS)))
+    # array_distinct compares all structs with one another; sorted, each is compared with the one before
+    spans = F.transform(F.array(found), lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x != F.get(xs, i - 1))))[0]
+    return exploded(docs.select("doc_id", *keep, spans.alias("__spans")), "__spans", "span_start")
 
 
 def exploded(df: DataFrame, column: str, key: str) -> DataFrame:
@@ -115,19 +112,35 @@ def greedy_spans(candidates: DataFrame) -> DataFrame:
     """The spans that are kept of overlapping candidates (doc_id, span_start, span_end, n_tokens, priority, ...).
 
     Candidates are taken by priority, then length in tokens (longest first), then
-    start; one is kept unless it overlaps one that was kept before.
+    start; one is kept unless it overlaps one that was kept before.  The kept spans
+    of a document are disjoint, so a candidate is held against its two neighbours
+    among them, which a binary search finds.
     """
     others = [c for c in candidates.columns if c not in ("doc_id", "span_start", "span_end", "n_tokens", "priority")]
     row = F.struct("priority", (-F.col("n_tokens")).alias("longest"), "span_start", "span_end", *others)
     packed = candidates.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("cs"))
-    kept = F.aggregate(
-        "cs",
-        F.slice("cs", 1, 0),
-        lambda acc, c: F.when(
-            F.exists(acc, lambda k: (k["span_start"] < c["span_end"]) & (c["span_start"] < k["span_end"])), acc
-        ).otherwise(F.array_append(acc, c)),
-    )
-    return packed.select("doc_id", F.inline(kept)).drop("priority", "longest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            rows, sizes = lists.flatten(), pc.list_value_length(lists).to_pylist()
+            starts, ends = (rows.field(c).to_pylist() for c in ("span_start", "span_end"))
+            keep, offsets, at = [], [0], 0
+            for size in sizes:
+                kept_s, kept_e = [], []
+                for k in range(at, at + size):
+                    s, e = starts[k], ends[k]
+                    i = bisect_left(kept_s, s)
+                    if (i == 0 or kept_e[i - 1] <= s) and (i == len(kept_s) or kept_s[i] >= e):
+                        kept_s.insert(i, s)
+                        kept_e.insert(i, e)
+                        keep.append(k)
+                at += size
+                offsets.append(len(keep))
+            kept = rows.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), kept)], ["doc_id", "cs"])
+
+    return packed.mapInArrow(run, packed.schema).select("doc_id", F.inline("cs")).drop("priority", "longest")
 
 
 def allowed_entities(spans: DataFrame, named: bool | tuple = (1, None), nouns: bool | tuple = (2, None)) -> DataFrame:
@@ -230,25 +243,26 @@ def triplet_mentions(triplets: DataFrame) -> DataFrame:
     return triplets.select("doc_id", F.inline(ends)).distinct()
 
 
-def good_phrases(phrases: DataFrame, tokens: DataFrame, min_count: int = 3, min_pmi: float = -0.5) -> DataFrame:
-    """Phrases (phrase) that pass the bigram test against tokenised texts (doc_id, pos, token).
+def good_phrases(phrases: DataFrame, texts: DataFrame, min_count: int = 3, min_pmi: float = -0.5) -> DataFrame:
+    """Phrases (phrase) that pass the bigram test against texts as arrays (words).
 
     A phrase of up to two words passes.  A longer one passes if each of its bigrams,
     without the last word, occurs at least ``min_count`` times and has a pointwise
     mutual information (natural logarithm) of at least ``min_pmi``.
+
+    Bigrams are made inside each text, so only their partial counts are shuffled.
     """
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    pairs = tokens.withColumn("next", F.lead("token").over(w)).filter("next IS NOT NULL")
-    bigrams = pairs.groupBy(F.col("token").alias("a"), F.col("next").alias("b")).agg(F.count("*").alias("n_ab"))
-    singles = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    totals = singles.agg(F.sum("n").alias("n_tokens")).crossJoin(bigrams.agg(F.sum("n_ab").alias("n_bigrams")))
-    pmi = F.ln((F.col("n_ab") / F.col("n_bigrams")) / ((F.col("n_a") / F.col("n_tokens")) * (F.col("n_b") / F.col("n_tokens"))))
-    # one row of totals
+    inner = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.struct(F.get("words", i).alias("a"), F.get("words", i + 1).alias("b")))
+    bigrams = texts.select(F.explode(F.when(F.size("words") > 1, inner)).alias("g")).groupBy("g.a", "g.b").agg(F.count("*").alias("n_ab"))
+    bigrams = written(bigrams, "bigrams")
+    singles = written(texts.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n")), "words")
+    n_tokens, n_bigrams = singles.agg(F.sum("n")).first()[0] or 0, bigrams.agg(F.sum("n_ab")).first()[0] or 0
+    pmi = F.ln((F.col("n_ab") / F.lit(n_bigrams)) / ((F.col("n_a") / F.lit(n_tokens)) * (F.col("n_b") / F.lit(n_tokens))))
     scored = (
-        bigrams.join(singles.select(F.col("token").alias("a"), F.col("n").alias("n_a")), "a")
+        bigrams.filter(F.col("n_ab") >= min_count)
+        .join(singles.select(F.col("token").alias("a"), F.col("n").alias("n_a")), "a")
         .join(singles.select(F.col("token").alias("b"), F.col("n").alias("n_b")), "b")
-        .crossJoin(F.broadcast(totals))
-        .filter((F.col("n_ab") >= min_count) & (pmi >= min_pmi))
+        .filter(pmi >= min_pmi)
         .select("a", "b", F.lit(True).alias("good"))
     )
     split = phrases.select("phrase", F.split(F.lower("phrase"), " ").alias("w"))

@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 STATS = ("frequency", "doc_frequency", "adjusted_tf_idf", "first_occurrence", "last_occurrence", "first_occurrence_ordinal", "last_occurrence_ordinal")
 
 
+DATES = ("timestamp", "timestamp_ordinal")
+
+
 def text_stats(annotations: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
     """keys + STATS of annotated targets; ``annotations`` has doc_id and the keys.
 
     Frequency counts annotations, doc_frequency documents; occurrence bounds skip
     nulls; adjusted_tf_idf = (frequency - 1) * documents / (doc_frequency + 1).
 
-    Annotations are first counted by key and document, so what meets the documents'
-    dates is one row for each such pair, and no distinct count needs an expansion.
+    Annotations are first counted by key and document, which halves what follows
+    and needs no expansion for a distinct count.  Where they carry their documents'
+    dates, as extraction can, the documents aren't joined.
     """
-    per_doc = annotations.groupBy(*keys, "doc_id").agg(F.count("*").alias("n"))
-    dated = per_doc.join(docs.select("doc_id", "timestamp", "timestamp_ordinal"), "doc_id")
+    carried = all(c in annotations.columns for c in DATES)
+    per_doc = annotations.groupBy(*keys, "doc_id").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in DATES if carried])
+    dated = per_doc if carried else per_doc.join(docs.select("doc_id", *DATES), "doc_id")
     grouped = dated.groupBy(*keys).agg(
         F.sum("n").alias("frequency"),
         F.count("*").alias("doc_frequency"),
@@ -34,7 +39,8 @@ def text_stats(annotations: DataFrame, docs: DataFrame, keys: list[str]) -> Data
 
 def union_columns(annotations: DataFrame, columns: list[str], name: str) -> DataFrame:
     """One row (doc_id, name) for each of several columns that refer to the same kind of target."""
-    return annotations.select("doc_id", F.explode(F.array(*columns)).alias(name))
+    kept = [c for c in ("doc_id", *DATES) if c in annotations.columns]
+    return annotations.select(*kept, F.explode(F.array(*columns)).alias(name))
 
 
 def with_defaults(targets: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:

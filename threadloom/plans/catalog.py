@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics, community, contexts, cooccur, extract, filters, graph, lookup, mapping, stats
@@ -79,18 +79,29 @@ def adjacent_triplets(spark, d):
     return extract.adjacent_triplets(c.documents(spark, d))
 
 
-_CANDIDATES = r"""cand AS (
-    SELECT doc_id, s, e, 1 AS n, 0 AS priority FROM mentions WHERE length(label) > 4
-    UNION ALL SELECT doc_id, s, e + 1, 2, 1 FROM mentions WHERE s % 3 = 0)"""
+# long labels first; then single mentions and pairs of neighbours, which overlap one another, by length and start
+_CANDIDATES = r"""neighbours AS (SELECT *, lead(e) OVER (PARTITION BY doc_id ORDER BY s) AS e2 FROM mentions),
+cand AS (
+    SELECT doc_id, s, e, 1 AS n, 0 AS priority FROM mentions WHERE length(label) > 6
+    UNION ALL SELECT doc_id, s, e, 1, 1 FROM mentions WHERE length(label) <= 6
+    UNION ALL SELECT doc_id, s, e2, 2, 1 FROM neighbours WHERE e2 - e < 20),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority, n DESC, s, e) AS r FROM cand),
+walk AS (
+    SELECT doc_id, 0::BIGINT AS r, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS kept, max(r) AS many FROM ranked GROUP BY doc_id
+    UNION ALL
+    SELECT w.doc_id, c.r, CASE WHEN len(list_filter(w.kept, lambda k: k.s < c.e AND c.s < k.e)) = 0 THEN list_append(w.kept, {'s': c.s::BIGINT, 'e': c.e::BIGINT}) ELSE w.kept END, w.many
+    FROM walk w JOIN ranked c ON c.doc_id = w.doc_id AND c.r = w.r + 1)"""
 
 
-@_query(sql.query((*sql.TEXT, _CANDIDATES), """SELECT doc_id, s AS span_start, e AS span_end FROM cand a WHERE priority = 0
-UNION ALL SELECT doc_id, s, e FROM cand a WHERE priority = 1 AND NOT EXISTS (SELECT 1 FROM cand b WHERE b.priority = 0 AND b.doc_id = a.doc_id AND b.s < a.e AND a.s < b.e)"""))
+@_query(sql.query((*sql.TEXT, _CANDIDATES), "SELECT doc_id, CAST(k.s AS INTEGER) AS span_start, CAST(k.e AS INTEGER) AS span_end FROM (SELECT doc_id, unnest(kept) AS k FROM walk WHERE r = many)").replace("WITH ", "WITH RECURSIVE ", 1))
 def greedy_spans(spark, d):
     m = extract.mentions(c.documents(spark, d))
-    named = m.filter(F.length("span_text") > 4).select("doc_id", "span_start", "span_end", F.lit(1).alias("n_tokens"), F.lit(0).alias("priority"))
-    wide = m.filter("span_start % 3 = 0").select("doc_id", "span_start", (F.col("span_end") + 1).alias("span_end"), F.lit(2).alias("n_tokens"), F.lit(1).alias("priority"))
-    return extract.greedy_spans(named.unionByName(wide)).select("doc_id", "span_start", "span_end")
+    n = F.length("span_text")
+    lead = F.lead("span_end").over(Window.partitionBy("doc_id").orderBy("span_start"))
+    single = m.select("doc_id", "span_start", "span_end", F.lit(1).alias("n_tokens"), F.when(n > 6, 0).otherwise(1).alias("priority"))
+    pair = m.withColumn("until", lead).filter(F.col("until") - F.col("span_end") < 20)
+    pair = pair.select("doc_id", "span_start", F.col("until").alias("span_end"), F.lit(2).alias("n_tokens"), F.lit(1).alias("priority"))
+    return extract.greedy_spans(single.unionByName(pair)).select("doc_id", "span_start", "span_end")
 
 
 @_query(r"""WITH w AS (SELECT doc_id, k, t[k] AS token FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents))),
@@ -98,15 +109,13 @@ b AS (SELECT token AS a, lead(token) OVER (PARTITION BY doc_id ORDER BY k) AS b,
 n AS (SELECT token, count(*) AS n FROM w GROUP BY token), nb AS (SELECT a, b, count(*) AS n FROM b WHERE b IS NOT NULL GROUP BY a, b),
 good AS (SELECT nb.a, nb.b FROM nb JOIN n x ON x.token = nb.a JOIN n y ON y.token = nb.b
     WHERE nb.n >= 3 AND ln((nb.n::DOUBLE / (SELECT sum(n) FROM nb)) / ((x.n::DOUBLE / (SELECT sum(n) FROM n)) * (y.n::DOUBLE / (SELECT sum(n) FROM n)))) >= -0.5),
-phrases AS (SELECT DISTINCT a, b, c3 FROM b WHERE c3 IS NOT NULL AND length(a) > 5)
+phrases AS (SELECT DISTINCT a, b, c3 FROM b WHERE c3 IS NOT NULL)
 SELECT a || ' ' || b || ' ' || c3 AS phrase FROM phrases SEMI JOIN good USING (a, b)""")
 def bigram_filter(spark, d):
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
-    docs = c.table(spark, d, "documents").select("doc_id", words.alias("w"))
-    tokens = docs.select("doc_id", F.posexplode("w").alias("pos", "token"))
-    threes = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.slice("w", i, 3)))
-    phrases = docs.select(F.explode(threes).alias("p")).filter(F.length(F.col("p")[0]) > 5).select(F.array_join("p", " ").alias("phrase")).distinct()
-    return extract.good_phrases(phrases, tokens)
+    docs = c.spread(c.table(spark, d, "documents"), "doc_id").select(words.alias("words"))
+    threes = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.array_join(F.slice("words", i, 3), " ")))
+    return extract.good_phrases(docs.select(F.explode(threes).alias("phrase")).distinct(), docs)
 
 
 # co-occurrence and statistics
@@ -117,13 +126,8 @@ def window_tuplets(spark, d):
     return cooccur.window_tuplets(c.documents(spark, d), 3).select("doc_id", "one_start", "one_text", "two_start", "two_text", "context_start", "context_end")
 
 
-@_query(sql.query(sql.TEXT, "SELECT least(a.label, b.label) AS entity_one, greatest(a.label, b.label) AS entity_two, count(*) AS frequency FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND b.s > a.s GROUP BY ALL HAVING count(*) > 1"))
-def document_cooccurrences(spark, d):
-    return document_cooccurrences_all(spark, d).filter("frequency > 1")
-
-
 @_query(sql.query(sql.TEXT, "SELECT least(a.label, b.label) AS entity_one, greatest(a.label, b.label) AS entity_two, count(*) AS frequency FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND b.s > a.s GROUP BY ALL"))
-def document_cooccurrences_all(spark, d):
+def document_cooccurrences(spark, d):
     # pairs of one document are as many labels apart as mentions: counted by label and document before they pair up
     per_doc = c.mentions(spark, d).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
     a, b = per_doc.select("doc_id", F.col("label").alias("entity_one"), F.col("n").alias("n1")), per_doc.select("doc_id", F.col("label").alias("entity_two"), F.col("n").alias("n2"))
@@ -454,9 +458,9 @@ def docs_with_mentions(spark, d):
     return out.select("doc_id", "lang", F.size("mentions").cast("long").alias("n_mentions"), F.coalesce(F.get("mentions", F.lit(0))["span_start"], F.lit(-1)).alias("first_start"))
 
 
-@_query(sql.query(sql.TEXT_COOCS, "SELECT one AS entity_one, two AS entity_two, frequency, f1 AS entity_one_frequency, f2 AS entity_two_frequency, round(pmi, 6) AS pmi FROM coocs WHERE frequency > 1"))
+@_query(sql.query(sql.TEXT_COOCS, "SELECT one AS entity_one, two AS entity_two, frequency, f1 AS entity_one_frequency, f2 AS entity_two_frequency, round(pmi, 6) AS pmi FROM coocs"))
 def cooccurrence_table(spark, d):
-    out = lookup.with_frequencies(c.cooccurrences(spark, d).filter("frequency > 1").select("entity_one", "entity_two", "frequency", "pmi"), c.entities(spark, d))
+    out = lookup.with_frequencies(c.cooccurrences(spark, d).select("entity_one", "entity_two", "frequency", "pmi"), c.entities(spark, d))
     return c.rounded(out, "pmi")
 
 

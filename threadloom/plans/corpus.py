@@ -21,10 +21,15 @@ def dated(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"timestamp": day, "timestamp_ordinal": F.col("doc_id").cast("int")})
 
 
+#: Bytes of files up to which a table is spread; more make partitions enough by themselves.
+SMALL_TABLE = 256 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores where its files are too few for that, as one small file is; large tables stay as they are."""
+    """``df`` over all cores, if its files are few and SMALL_TABLE at most; large tables are read where they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_TABLE
+    return df.repartition(cores, key) if small and df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +43,11 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.mentions(documents(spark, sf_dir)).withColumn("label", F.col("span_text"))
+    return extract.mentions(documents(spark, sf_dir), keep=stats.DATES).withColumn("label", F.col("span_text"))
 
 
 def tuplets(spark: SparkSession, sf_dir: str, window: int = 3) -> DataFrame:
-    pairs = cooccur.window_tuplets(documents(spark, sf_dir), window)
+    pairs = cooccur.window_tuplets(documents(spark, sf_dir), window, keep=stats.DATES)
     return pairs.withColumns({"entity_one": F.least("one_text", "two_text"), "entity_two": F.greatest("one_text", "two_text")})
 
 
@@ -51,7 +56,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cooccurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = stats.text_stats(tuplets(spark, sf_dir).select("doc_id", "entity_one", "entity_two"), attributes(spark, sf_dir), ["entity_one", "entity_two"])
+    pairs = stats.text_stats(tuplets(spark, sf_dir), attributes(spark, sf_dir), ["entity_one", "entity_two"])
     return stats.pmi(pairs, entities(spark, sf_dir))
 
 
@@ -67,11 +72,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def star_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as documents: market segment - return flag - brand, for every line."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select(F.col("l_orderkey").alias("doc_id"), F.col("c_mktsegment").alias("subject"), F.col("l_returnflag").alias("predicate"), F.col("p_brand").alias("object"))
+    dates = F.to_date("o_orderdate").alias("timestamp"), F.col("o_orderkey").cast("int").alias("timestamp_ordinal")
+    return joined.select(F.col("l_orderkey").alias("doc_id"), *dates, F.col("c_mktsegment").alias("subject"), F.col("l_returnflag").alias("predicate"), F.col("p_brand").alias("object"))
 
 
 def star_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
