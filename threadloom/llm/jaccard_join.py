@@ -174,7 +174,7 @@ _SENT_NAMES, _SENT_TYPES = ["place", "kind", "data"], [pa.int32(), pa.int32(), p
 
 def _cut(codes: np.ndarray, owner: np.ndarray, keys: np.ndarray, bits: int, buckets: int) -> Iterator[tuple[int, bytes]]:
     """The codes by bucket, each ascending, with the keys of their owners (index of ``keys``)."""
-    order = np.argsort(codes, kind="stable")
+    order = np.argsort(codes)
     codes, owner = codes[order], owner[order]
     step = -(-(1 << bits) // buckets)
     edges = np.searchsorted(codes, np.array([min(b * step, (1 << 64) - 1) for b in range(1, buckets)], np.uint64))
@@ -194,7 +194,7 @@ def _joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys.append(np.cumsum(k, dtype=np.uint64))
         base += len(k)
     code, owner = np.concatenate(codes), np.concatenate(owners)
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code)
     return code[order], owner[order], np.concatenate(keys)
 
 
@@ -305,15 +305,18 @@ def _items(texts: DataFrame, n: int, bytes_of_text: int, hot: np.ndarray) -> Dat
         for kinds in _by_place(batches).values():
             if 0 in kinds:
                 code, owner, keys = _joined(kinds.pop(0))
-                cls = keys[owner]
+                twice = np.zeros(len(code), bool)
+                twice[1:] = code[1:] == code[:-1]
+                twice[:-1] |= twice[1:]
+                code, cls = code[twice], keys[owner[twice]]
                 order = np.lexsort((cls, code))
                 code, cls = code[order], cls[order]
                 new = np.ones(len(code), bool)
                 new[1:] = (code[1:] != code[:-1]) | (cls[1:] != cls[:-1])  # copies and repeated rows tell the same
                 code, cls = code[new], cls[new]
-                at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
                 df = np.diff(np.append(at, len(code)))
-                item = tc.mix(np.add.reduceat(tc.mix(cls ^ np.uint64(0x94D049BB133111EB)), at))  # the same classes, the same item
+                item = tc.mix(np.add.reduceat(tc.mix(cls ^ np.uint64(0x94D049BB133111EB)), at)) if len(at) else code  # the same classes, the same item
                 gram_df, gram_item = np.repeat(df, df), np.repeat(item, df)
                 k = gram_df > 1
                 cls, gram_df, gram_item = cls[k], gram_df[k], gram_item[k]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.corpus import spread
 from ..sources.scratch import new_path, shared_dir, written
 
 __all__ = ["key_bits", "new_path", "only_ids", "only_maybe", "shared_dir", "table", "unused", "with_maybe", "without_ids", "written"]
@@ -16,10 +17,10 @@ FILTER_KEYS = 1 << (FILTER_BITS - 2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts in a single small file, which would be one task, are spread over all cores."""
+    """A table; small ones with texts, whose few files would be few tasks, are spread over all cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = {"documents": "doc_id", "pages": "page_id"}.get(name)
-    return df.repartition(spark.sparkContext.defaultParallelism, key) if key and df.rdd.getNumPartitions() == 1 else df
+    return spread(df, key) if key else df
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -150,13 +150,20 @@ def ngrams(words: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 def distinct(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every row's values, ascending and without repeats."""
-    rows = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    order = np.lexsort((values, rows))
-    v, r = values[order], rows[order]
+    n = len(off) - 1
+    rows = np.repeat(np.arange(n), np.diff(off))
+    if len(values) >= 32 * n:  # long rows are sorted one by one, which is the fastest
+        v, r = values.copy(), rows
+        for s, e in zip(off[:-1].tolist(), off[1:].tolist()):
+            v[s:e].sort()
+    else:
+        order = np.argsort(values)
+        order = order[np.argsort(rows[order].astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")]
+        v, r = values[order], rows[order]
     keep = np.ones(len(v), dtype=bool)
     if len(v):
         keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
     v, r = v[keep], r[keep]
     out = np.zeros(len(off), dtype=np.int64)
-    np.cumsum(np.bincount(r, minlength=len(off) - 1), out=out[1:])
+    np.cumsum(np.bincount(r, minlength=n), out=out[1:])
     return v, out
