@@ -48,7 +48,7 @@ from . import textcode as tc
 N, THRESHOLD = 3, 0.5
 
 #: Grams that a task holds at once: of a bucket, and of those to be sent.
-BUCKET_GRAMS, FLUSH_GRAMS = 4 << 20, 2 << 20
+BUCKET_GRAMS, FLUSH_GRAMS = 2 << 20, 1 << 20
 #: Bits of a code beyond those that number all grams.
 SPARE_BITS = 7
 #: A gram in one of HOT_SHARE documents, by a sample of HOT_SAMPLE, is known to all tasks.  There are at most
