@@ -127,7 +127,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(word_counts(batch.column(1)))], ["doc_id", "n"])
+            key = batch.column(2).to_numpy()
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
+            again = np.empty(len(key), np.int64)  # how many rows before it in the batch are equal
+            again[order] = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+            mixed = tc.mix(key.view(np.uint64) + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(word_counts(batch.column(1))), pa.array(mixed)], ["doc_id", "n", "mixed"])
 
     def spread(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "n"], kind="stable", na_position="last")
@@ -144,10 +150,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
         window = np.concatenate([own, k + np.arange(len(whole))])
         return pd.DataFrame({"window_id": (shard << 32) + window, "doc_id": ids.take(row), "start_word": begin, "end_word": begin + size, "n_words": size})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # by id and text, so that documents without an id spread too; rows that are equal in both, by their number
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text"))
     shards = max(1, -(-docs.count() // shard_docs))
-    counted = rows.mapInArrow(count, "doc_id long, n long").filter("n > 0")
-    counted = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)))
+    counted = rows.mapInArrow(count, "doc_id long, n long, mixed long").filter("n > 0")
+    counted = counted.select("doc_id", "n", F.pmod("mixed", F.lit(shards)).alias("shard"))
     schema = "window_id long, doc_id long, start_word long, end_word long, n_words long"
     # an explicit number of partitions: a shard costs far more time than its few bytes suggest
     return counted.repartition(min(shards, MAX_TASKS), "shard").groupBy("shard").applyInPandas(spread, schema)

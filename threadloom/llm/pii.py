@@ -33,18 +33,21 @@ from pyspark.sql import functions as F
 from . import shared
 from . import textcode as tc
 from .automaton import Rule
-from .secrets import LANE_BYTES, scanner
+from .secrets import LANE_BYTES, raw_bytes, scanner
 
 #: Kinds of protected entities; where two overlap, the one that starts first, then the longer, then the earlier here counts.
 ENTITIES = (
     Rule("EMAIL", r"[0-9A-Za-z_.+-]+@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)+"),
-    Rule("PHONE", r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{3,4}"),
+    Rule("PHONE", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}"),
     Rule("PHONE", r"\(\d{3}\) ?\d{3}[ .-]\d{4}"),
-    Rule("IP", r"(?:\d{1,3}\.){3}\d{1,3}"),
+    Rule("PHONE", r"\d{3}[.-]\d{3}[.-]\d{4}"),
+    Rule("IP", r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"),
+    Rule("IP", r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"),
+    Rule("IP", r"[0-9A-Fa-f]{4}(?::[0-9A-Fa-f]{1,4}){0,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}"),
     Rule("SSN", r"\d{3}-\d{2}-\d{4}"),
     Rule("CARD", r"(?:\d{4}[ -]){3}\d{4}"),
     Rule("NUMBER", r"\d{9,19}"),
-    Rule("IBAN", r"[A-Z]{2}\d{2}[0-9A-Z]{11,30}"),
+    Rule("IBAN", r"[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?"),
 )
 
 #: Contexts from which on a pair's share is taken as it is, and the least that an entity and a pair must have to be scored (1: all are).
@@ -61,9 +64,7 @@ _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:
     for a, b in tc.slices(column, LANE_BYTES):
         part = pc.fill_null(column.slice(a, b - a), "")
-        off = np.concatenate([[0], np.cumsum(pc.binary_length(part).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        first = int(np.frombuffer(part.buffers()[1], np.int32)[part.offset]) if len(part) else 0
-        data = np.frombuffer(part.buffers()[2], np.uint8, count=int(off[-1]), offset=first) if off[-1] else np.zeros(0, np.uint8)
+        data, off = raw_bytes(part)
         yield a, b, data, off, part
 
 

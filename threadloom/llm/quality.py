@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 from . import shared
 from . import textcode as tc
 
-#: Bounds on the labelled rows, (low, high), and on the preference pairs that the model is fitted on.
-MAX_ROWS, MAX_PAIRS = (3000, 6000), 20_000
+#: Bounds on the labelled rows, (low, high), that the model is fitted on; all their preference pairs are used.
+MAX_ROWS = (3000, 6000)
+#: Weight of the penalty, and the least number of steps of the fit.
 PENALTY, STEPS = 1e-3, 400
+#: Scores that are sorted in one place to find a quantile.
+SORTED_SCORES = 100_000
 
 FEATURES = (
     "log_words", "upper_share", "digit_share", "symbol_share", "stop_share", "space_share", "non_ascii_share",
@@ -96,23 +100,43 @@ class Ranker:
         return _expanded((x - self.mean) / self.scale) @ self.weights
 
 
-def fit_pairs(x: np.ndarray, better: np.ndarray, worse: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> Ranker:
-    """P(a over b) = sigmoid(score(a) - score(b)): logistic loss on differences of features, by Adam."""
+def _fit(x: np.ndarray, differences: Callable[[np.ndarray, int], np.ndarray], steps: int, penalty: float) -> Ranker:
+    """Logistic loss on differences of features (better less worse) by Adam; ``differences`` gives those of a step."""
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = _expanded((x - mean) / scale)
-    d = z[better] - z[worse]
     w, m, v = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
     for t in range(1, steps + 1):
+        d = differences(z, t - 1)
         p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
         g = d.T @ p / len(d) - penalty * w
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
-        w += 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w += 0.05 / math.sqrt(1 + 9 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Ranker(mean, scale, w)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS, max_pairs: int = MAX_PAIRS) -> Ranker:
-    """Fit on preference pairs (a high-quality row over a low-quality one) among at most ``max_rows`` labelled rows.
+def fit_pairs(x: np.ndarray, better: np.ndarray, worse: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> Ranker:
+    """P(a over b) = sigmoid(score(a) - score(b)), for given pairs of rows."""
+    return _fit(x, lambda z, _: z[better] - z[worse], steps, penalty)
+
+
+def fit_sides(x: np.ndarray, high: np.ndarray, low: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> Ranker:
+    """The same for all pairs of a row of ``high`` over one of ``low``.
+
+    A step takes every row of the larger side, each with the row that stands some
+    places on in the smaller side, so a round of as many steps as the smaller side
+    has rows sees every pair once.  At least one round is made, and ``steps`` steps.
+    """
+    sign = 1.0 if len(high) >= len(low) else -1.0
+    long, short = (high, low) if sign > 0 else (low, high)
+    rng = np.random.default_rng(0)
+    turns = np.concatenate([rng.permutation(len(short)) for _ in range(-(-max(steps, len(short)) // len(short)))])
+    at = np.arange(len(long))
+    return _fit(x, lambda z, t: sign * (z[long] - z[short[(at + turns[t]) % len(short)]]), len(turns), penalty)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS) -> Ranker:
+    """Fit on all preference pairs (a high-quality row over a low-quality one) among at most ``max_rows`` labelled rows.
 
     The rows of least hash of their doc_id are taken, so the sample is spread over
     the corpus and the same in every run.  Without labels of both kinds all scores
@@ -138,8 +162,41 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_RO
     if not len(high) or not len(low):
         return Ranker(np.zeros(k), np.ones(k), np.zeros(2 * k))
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, k)
-    rng = np.random.default_rng(0)
-    return fit_pairs(x, rng.choice(high, max_pairs), rng.choice(low, max_pairs))
+    return fit_sides(x, high, low)
+
+
+def kth_smallest(df: DataFrame, column: str, k: int, sorted_rows: int = SORTED_SCORES) -> float | None:
+    """The k-th smallest value, from 1, of a column without nulls; exact, None if there are fewer.
+
+    Approximate quantiles close in on it, and counts below and above them make
+    sure that it stays inside, until ``sorted_rows`` values at most are left to sort.
+    """
+    value = F.col(column)
+    low, high, count = df.agg(F.min(value), F.max(value), F.count(value)).first()
+    if not 1 <= k <= count:
+        return None
+    below = 0  # values under ``low``
+    while low < high and count > sorted_rows:
+        share, rows = (k - below) / count, df.filter((value >= low) & (value <= high))
+        a, b = rows.agg(F.percentile_approx(value, F.array(F.lit(max(0.0, share - 0.01)), F.lit(min(1.0, share + 0.01))), F.lit(1000))).first()[0]
+        under, upto = rows.agg(F.count(F.when(value < a, 1)), F.count(F.when(value <= b, 1))).first()
+        if below + under < k <= below + upto and (a, b) != (low, high):
+            low, high, below, count = a, b, below + under, upto - under
+        else:  # heavy ties: the value is one of the bounds, or between them lies less
+            if k <= below + under:
+                high, count = df.filter((value >= low) & (value < a)).agg(F.max(value), F.count(value)).first()
+            elif k > below + upto:
+                low, count, below = *df.filter((value > b) & (value <= high)).agg(F.min(value), F.count(value)).first(), below + upto
+            else:
+                break
+    if low == high:
+        return low
+    rows = df.filter((value >= low) & (value <= high)).groupBy(value.alias("v")).agg(F.count("*").alias("n")).orderBy("v").toLocalIterator()
+    for r in rows:
+        below += r["n"]
+        if below >= k:
+            return r["v"]
+    return None
 
 
 def scores(docs: DataFrame, ranker: Ranker) -> DataFrame:
@@ -166,6 +223,5 @@ def rank(docs: DataFrame, labels: DataFrame, quantile: float | None = None, rank
     if quantile is None:
         quantile = labels.filter("quality IS NOT NULL").agg(F.avg(F.when(F.col("quality") > 0, 0.0).otherwise(1.0))).first()[0] or 0.0
     scored = shared.written(scores(docs, ranker or train(docs, labels)), "quality-scores")
-    cut = scored.agg(F.percentile_approx("score", F.lit(float(quantile)), F.lit(100_000)).alias("cut"))
-    # one row
-    return scored.crossJoin(F.broadcast(cut)).select("doc_id", "score", (F.col("score") >= F.col("cut")).alias("kept"))
+    cut = kth_smallest(scored, "score", max(1, math.ceil(quantile * scored.count() - 1e-9)))
+    return scored.select("doc_id", "score", (F.col("score") >= F.lit(cut)).alias("kept"))

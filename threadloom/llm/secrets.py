@@ -15,19 +15,72 @@ from pyspark.sql import functions as F
 from . import textcode as tc
 from .automaton import TOKEN, WORD, Dfa, Rule, compile_rules
 
-RULES = (
+#: Credentials that are told by their own form.
+TOKENS = (
     Rule("aws_access_key_id", r"A(?:KIA|SIA)[0-9A-Z]{16}"),
     Rule("github_token", r"gh[opsur]_[0-9A-Za-z]{36}"),
-    Rule("gitlab_token", r"glpat-[0-9A-Za-z_-]{20}", right=False),
-    Rule("slack_token", r"xox[abprs]-[0-9A-Za-z-]{10,}", right=False),
+    Rule("github_fine_grained_token", r"github_pat_[0-9A-Za-z_]{22,}", right=False),
+    Rule("gitlab_token", r"gl(?:pat|dt|rt|ptt|cbt)-[0-9A-Za-z_-]{20}", right=False),
+    Rule("slack_token", r"xox[abeprs]-[0-9A-Za-z-]{10,}", right=False),
+    Rule("slack_app_token", r"xapp-\d-[0-9A-Z]+-\d+-[0-9a-f]{32,}"),
+    Rule("slack_webhook", r"https://hooks\.slack\.com/services/T[0-9A-Z]{8,}/B[0-9A-Z]{8,}/[0-9A-Za-z]{24}"),
+    Rule("discord_webhook", r"https://discord(?:app)?\.com/api/webhooks/\d{17,20}/[0-9A-Za-z_-]{60,}", right=False),
     Rule("google_api_key", r"AIza[0-9A-Za-z_-]{35}", right=False),
-    Rule("stripe_key", r"[rs]k_live_[0-9A-Za-z]{24,}"),
+    Rule("google_oauth_token", r"ya29\.[0-9A-Za-z_-]{20,}", right=False),
+    Rule("google_client_secret", r"GOCSPX-[0-9A-Za-z_-]{28}", right=False),
+    Rule("stripe_key", r"[rs]k_(?:live|test)_[0-9A-Za-z]{24,}"),
+    Rule("stripe_webhook_secret", r"whsec_[0-9A-Za-z]{32,}"),
+    Rule("prefixed_sk_key", r"sk-[0-9A-Za-z_-]{32,}", right=False),
+    Rule("hub_token", r"hf_[0-9A-Za-z]{34}"),
+    Rule("npm_token", r"npm_[0-9A-Za-z]{36}"),
+    Rule("pypi_token", r"pypi-AgE[0-9A-Za-z_-]{50,}", right=False),
+    Rule("rubygems_token", r"rubygems_[0-9a-f]{48}"),
+    Rule("sendgrid_key", r"SG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}", right=False),
+    Rule("mailgun_key", r"key-[0-9a-f]{32}"),
+    Rule("mailchimp_key", r"[0-9a-f]{32}-us\d{1,2}"),
+    Rule("twilio_key", r"(?:SK|AC)[0-9a-f]{32}"),
+    Rule("square_token", r"sq0(?:atp|csp)-[0-9A-Za-z_-]{22,}", right=False),
+    Rule("shopify_token", r"shp(?:at|ca|pa|ss)_[0-9A-Fa-f]{32}"),
+    Rule("digitalocean_token", r"do[opr]_v1_[0-9a-f]{64}"),
+    Rule("databricks_token", r"dapi[0-9a-f]{32}"),
+    Rule("vault_token", r"hv[bs]\.[0-9A-Za-z_-]{24,}", right=False),
+    Rule("terraform_token", r"[0-9A-Za-z]{14}\.atlasv1\.[0-9A-Za-z_-]{60,}", right=False),
+    Rule("grafana_token", r"glsa_[0-9A-Za-z]{32}_[0-9A-Fa-f]{8}"),
+    Rule("newrelic_key", r"NRAK-[0-9A-Z]{27}"),
+    Rule("dynatrace_token", r"dt0c01\.[0-9A-Z]{24}\.[0-9A-Z]{64}"),
+    Rule("sentry_token", r"sntry[su]_[0-9A-Za-z_-]{40,}", right=False),
+    Rule("linear_key", r"lin_api_[0-9A-Za-z]{40}"),
+    Rule("postman_key", r"PMAK-[0-9a-f]{24}-[0-9a-f]{34}"),
+    Rule("doppler_token", r"dp\.(?:pt|st|ct|sa)\.[0-9A-Za-z]{40,44}"),
+    Rule("planetscale_token", r"pscale_(?:tkn|pw|oauth)_[0-9A-Za-z_-]{32,}", right=False),
+    Rule("atlassian_token", r"ATATT3[0-9A-Za-z_-]{40,}", right=False),
+    Rule("age_secret_key", r"AGE-SECRET-KEY-1[0-9A-Z]{58}"),
     Rule("json_web_token", r"eyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}", right=False),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", right=False),
-    Rule("assigned_secret", r"(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[:=]\s{0,3}[\"']?[0-9A-Za-z+/_.-]{12,}", ignore_case=True, right=False),
-    Rule("url_credentials", r"[a-z]{2,12}://[0-9A-Za-z_.-]+:[0-9A-Za-z_.!-]{4,}@", right=False),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----", right=False),
 )
+#: Credentials that are told by what stands before them.  A name may begin with other parts, as in DB_PASSWORD, clientSecret
+#: or aws.secret_access_key, and stand in quotes.
+ASSIGNMENTS = (
+    Rule("assigned_secret", r"[0-9A-Za-z_.-]*(?:password|passwd|passphrase|pwd|secret|token|credentials?|(?:api|access|account|private|auth|encryption)[_-]?key)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?[0-9A-Za-z+/_.-]{12,}", ignore_case=True, right=False),
+    Rule("authorization_header", r"(?:bearer|basic) [0-9A-Za-z+/_.~-]{16,}", ignore_case=True, right=False),
+    Rule("url_credentials", r"[a-z][0-9a-z+]*://[0-9A-Za-z_.-]*:[0-9A-Za-z_.!-]{4,}@", right=False),
+)
+RULES = TOKENS + ASSIGNMENTS
+
+
+def groups(rules: tuple[Rule, ...]) -> list[tuple[Rule, ...]]:
+    """The rules, by the combined automaton that scans them: as many as its masks hold.
+
+    Rules that search for a word inside any name are kept from those that count
+    the bytes of a key, since the states of one would multiply those of the other.
+    """
+    counted = [r for r in rules if r not in ASSIGNMENTS]
+    named = [r for r in rules if r in ASSIGNMENTS]
+    return [tuple(g[i : i + MASK_RULES]) for g in (counted, named) for i in range(0, len(g), MASK_RULES)]
 
+
+#: Rules of one automaton.
+MASK_RULES = 63
 #: Bytes of text that are scanned side by side, and texts below which the rest are scanned one by one.
 LANE_BYTES, FEWEST_LANES = 8 << 20, 96
 
@@ -41,8 +94,8 @@ class Scanner:
     """The automaton of all rules, and the anchored one of each rule to place its matches."""
 
     def __init__(self, rules: tuple[Rule, ...]):
-        if len(rules) > 63:
-            raise ValueError("at most 63 rules fit one automaton's masks; use several scanners")
+        if len(rules) > MASK_RULES:
+            raise ValueError("too many rules for one automaton's masks; see groups")
         self.rules = rules
         self.dfa = compile_rules(list(rules))
         full = self.dfa.next[:, self.dfa.kind].astype(np.int32)
@@ -125,6 +178,16 @@ def scanner(rules: tuple[Rule, ...]) -> Scanner:
     return Scanner(rules)
 
 
+def raw_bytes(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string array without nulls, of either offset width, and its row offsets."""
+    off = np.concatenate([[0], np.cumsum(pc.binary_length(part).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    if not off[-1]:
+        return np.zeros(0, np.uint8), off
+    wide = np.int64 if pa.types.is_large_string(part.type) else np.int32
+    first = int(np.frombuffer(part.buffers()[1], wide)[part.offset])
+    return np.frombuffer(part.buffers()[2], np.uint8, count=int(off[-1]), offset=first), off
+
+
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, rule, hit, n_chars, fingerprint) of every match, without a shuffle.
 
@@ -135,24 +198,25 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     reported again; other columns are ignored.
     """
 
+    # compiled once; some thousand states, whatever the texts
+    known = docs.sparkSession.sparkContext.broadcast([(g, scanner(g)) for g in groups(rules)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = scanner(rules)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out = []
             for a, b in tc.slices(batch.column(1), LANE_BYTES):
                 part = batch.column(1).slice(a, b - a)
-                off = np.concatenate([[0], np.cumsum(pc.binary_length(part).to_numpy(zero_copy_only=False))]).astype(np.int64)
-                first = np.frombuffer(part.buffers()[1], np.int32)[part.offset] if len(part) else 0
-                data = np.frombuffer(part.buffers()[2], np.uint8, count=int(off[-1]), offset=int(first)) if off[-1] else np.zeros(0, np.uint8)
-                masks = scan.masks(data, off)
-                for i in np.flatnonzero(masks).tolist():
-                    raw = data[off[i] : off[i + 1]].tobytes()
-                    for k, rule in enumerate(rules):
-                        if int(masks[i]) >> k & 1:
-                            for hit, (s, e) in enumerate(scan.spans(k, raw), 1):
-                                text = raw[s:e]
-                                out.append((ids[a + i], rule.name, hit, len(text.decode("utf-8", "replace")), hashlib.sha256(text).hexdigest()))
+                data, off = raw_bytes(part)
+                for group, scan in known.value:
+                    masks = scan.masks(data, off)
+                    for i in np.flatnonzero(masks).tolist():
+                        raw = data[off[i] : off[i + 1]].tobytes()
+                        for k, rule in enumerate(group):
+                            if int(masks[i]) >> k & 1:
+                                for hit, (s, e) in enumerate(scan.spans(k, raw), 1):
+                                    text = raw[s:e]
+                                    out.append((ids[a + i], rule.name, hit, len(text.decode("utf-8", "replace")), hashlib.sha256(text).hexdigest()))
             if out:
                 d, r, h, n, f = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(r), pa.array(h, pa.int32()), pa.array(n, pa.int32()), pa.array(f)], ["doc_id", "rule", "hit", "n_chars", "fingerprint"])

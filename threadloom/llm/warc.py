@@ -18,8 +18,6 @@ from . import shared
 
 #: Compressed bytes after which the writer starts another file; bytes that the reader takes at a time.
 FILE_BYTES, READ_BYTES = 256 << 20, 1 << 18
-#: Longest head (WARC fields of one record) that is accepted.
-MAX_HEAD = 1 << 20
 LEVEL = 4
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -121,7 +119,8 @@ def parse(data: bytes, status: str = "ok") -> dict:
     """The record of one inflated member."""
     out: dict = dict.fromkeys(("type", "record_id", "target_uri", "date", "content_type", "content_length", "http_status", "payload"))
     out |= {"fields": {}, "verified": False, "status": status}
-    head, gap, rest = data[:MAX_HEAD].partition(b"\r\n\r\n")
+    until = data.find(b"\r\n\r\n")
+    head, gap = data[: max(until, 0)], until >= 0
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not gap or not lines[0].startswith("WARC/"):
         return out | {"status": status if status != "ok" else "bad_head"}
