@@ -277,7 +277,7 @@ def test_components_either_way(spark, one_task):
 
 def test_one_text_of_very_many_mentions(spark):
     """Extraction takes time in proportion to the text."""
-    n = 200_000
+    n = 100_000
     text = " ".join(f"Name{i % 977} went. " if i % 3 else "Name" for i in range(n))
     df = docs(spark, text)
     start = time.monotonic()

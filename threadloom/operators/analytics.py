@@ -15,6 +15,10 @@ def hapaxes(entities: DataFrame) -> DataFrame:
     return entities.filter("frequency = 1")
 
 
+#: Ranks in one run.
+RANKS = 10_000
+
+
 def zipf(frequencies: DataFrame, name: str = "span_text") -> DataFrame:
     """(slope, intercept, n): least squares of ln(frequency) on ln(rank), ranks by frequency and then name.
 
@@ -24,8 +28,10 @@ def zipf(frequencies: DataFrame, name: str = "span_text") -> DataFrame:
     """
     sizes = frequencies.groupBy("frequency").agg(F.count("*").alias("k"))
     before = sizes.withColumn("above", F.coalesce(F.sum("k").over(Window.orderBy(F.desc("frequency")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # the ranks of equals are above + 1 .. above + k; only their logarithms are needed
-    points = before.select(F.ln("frequency").alias("y"), F.explode(F.sequence(F.col("above") + 1, F.col("above") + F.col("k"))).alias("rank"))
+    # the ranks of equals are above + 1 .. above + k, in runs that tasks share, so that no array or task holds all hapaxes
+    last = F.col("above") + F.col("k")
+    runs = before.select("frequency", last.alias("last"), F.explode(F.sequence(F.col("above") + 1, last, F.lit(RANKS))).alias("start")).repartition("start")
+    points = runs.select(F.ln("frequency").alias("y"), F.explode(F.sequence("start", F.least(F.col("start") + RANKS - 1, F.col("last")))).alias("rank"))
     x = F.ln("rank")
     return points.select("y", x.alias("x")).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.count("*").alias("n"))
 

@@ -28,6 +28,8 @@ def community_graph(nodes: DataFrame, rows: DataFrame, f: GraphFilter = GraphFil
     return v, e.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.col(weight).cast("double").alias("weight"))
 
 
+#: Vertices or edges that a custom algorithm may bring to the driver.
+DRIVER_ROWS = 5_000_000
 #: Links up to which components are found in one task; the number is counted first.
 ONE_TASK_LINKS = 1_000_000
 
@@ -194,7 +196,12 @@ def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 1.5) -> D
 
 
 def custom(vertices: DataFrame, edges: DataFrame, find: Callable[[pd.DataFrame, pd.DataFrame], list[set]]) -> DataFrame:
-    """(community, id) by any function of the vertices and edges as pandas frames, on the driver."""
+    """(community, id) by any function of the vertices and edges as pandas frames, on the driver.
+
+    ValueError for more than DRIVER_ROWS vertices or edges, which the driver might not hold.
+    """
+    if max(vertices.count(), edges.count()) > DRIVER_ROWS:
+        raise ValueError(f"a custom algorithm takes at most {DRIVER_ROWS} vertices and edges")
     spark, kind = vertices.sparkSession, dict(vertices.dtypes)["id"]
     rows = [(min(c), v) for c in find(vertices.toPandas(), edges.toPandas()) for v in sorted(c)]
     return spark.createDataFrame(rows, f"community {kind}, id {kind}")

@@ -544,3 +544,111 @@ def activation(spark, d):
     members = written(community.connected(*_strong(spark, d)), "members")
     acts = c.mentions(spark, d).select(F.col("doc_id").alias("context"), F.col("label").alias("id"))
     return c.rounded(contexts.activation(members, acts), "activation")
+
+
+# extraction rules, exports and lookups
+
+
+@_query(sql.query(sql.TEXT, "SELECT doc_id, s AS span_start, e AS span_end, label AS span_text FROM mentions WHERE CASE WHEN length(label) > 6 THEN length(label) >= 8 AND length(label) < 12 ELSE length(label) >= 3 END"))
+def allowed_entities(spark, d):
+    n = F.length("span_text")
+    m = extract.mentions(c.documents(spark, d)).withColumns({"n_tokens": n, "is_named": n > 6})
+    return extract.allowed_entities(m, named=(8, 12), nouns=(3, None)).select("doc_id", "span_start", "span_end", "span_text")
+
+
+# clusters of the mentions of a document that begin alike; short ones stand for pronouns
+_CLUSTERS = """clusters AS (SELECT doc_id, CAST(ascii(label) AS INTEGER) AS cluster, s, e, label, length(label) <= 3 AS pron FROM mentions),
+heads AS (SELECT doc_id, cluster, arg_min({'s': s, 'e': e, 't': label}, {'n': length(label), 's': s}) AS h FROM clusters WHERE NOT pron GROUP BY doc_id, cluster)"""
+
+
+def _clusters(spark, d):
+    m = extract.mentions(c.documents(spark, d))
+    return m, m.select("doc_id", F.ascii("span_text").alias("cluster"), "span_start", "span_end", "span_text", (F.length("span_text") <= 3).alias("is_pronoun"))
+
+
+@_query(sql.query((*sql.TEXT, _CLUSTERS), "SELECT doc_id, cluster, h.s AS head_start, h.e AS head_end, h.t AS head_text FROM heads"))
+def antecedents(spark, d):
+    return extract.antecedents(_clusters(spark, d)[1])
+
+
+@_query(sql.query((*sql.TEXT, _CLUSTERS), """SELECT doc_id, s AS span_start, e AS span_end, CASE WHEN pron THEN h.t ELSE label END AS span_text, pron AS is_coref_resolved
+FROM clusters LEFT JOIN heads USING (doc_id, cluster) WHERE NOT pron OR h IS NOT NULL"""))
+def resolve_pronouns(spark, d):
+    return extract.resolve_pronouns(*_clusters(spark, d))
+
+
+_LEADING = r"""firsts AS (SELECT doc_id, w[1] AS sub, w[2] AS pred, w[3] AS obj, CAST(instr(text, w[1]) - 1 AS INTEGER) AS ss, CAST(instr(text, w[3]) - 1 AS INTEGER) AS os
+    FROM (SELECT doc_id, text, regexp_extract_all(text, '\S+') AS w FROM documents) WHERE len(w) >= 3)"""
+
+
+@_query(sql.query((_LEADING,), "SELECT doc_id, ss AS span_start, CAST(ss + length(sub) AS INTEGER) AS span_end, sub AS span_text FROM firsts UNION SELECT doc_id, os, CAST(os + length(obj) AS INTEGER), obj FROM firsts"))
+def triplet_mentions(spark, d):
+    return extract.triplet_mentions(extract.leading_triplets(c.documents(spark, d)))
+
+
+@_query(sql.query((_LEADING, """lab AS (SELECT label, row_number() OVER (ORDER BY label) AS id FROM (SELECT sub AS label FROM firsts UNION SELECT obj FROM firsts)),
+    prd AS (SELECT label, row_number() OVER (ORDER BY label) AS id FROM (SELECT DISTINCT pred AS label FROM firsts))"""), """SELECT doc_id, a.id AS subject_entity_id, sub AS subject_label, sub AS subject_span_text, ss AS subject_span_start,
+CAST(ss + length(sub) AS INTEGER) AS subject_span_end, p.id AS predicate_id, pred AS predicate_label, pred AS pred_span_text, b.id AS object_entity_id, obj AS object_label, obj AS object_span_text, os AS object_span_start,
+CAST(os + length(obj) AS INTEGER) AS object_span_end FROM firsts JOIN lab a ON a.label = sub JOIN lab b ON b.label = obj JOIN prd p ON p.label = pred"""))
+def triplet_table(spark, d):
+    t = written(extract.leading_triplets(c.documents(spark, d)).withColumns({"subject": F.col("subj_text"), "predicate": F.col("pred_text"), "object": F.col("obj_text")}), "triplets")
+    nodes = mapping.ranked_ids(t.select(F.explode(F.array("subject", "object")).alias("label")).distinct(), ["label"])
+    return lookup.triplet_table(t, nodes, mapping.ranked_ids(t.select(F.col("predicate").alias("label")).distinct(), ["label"]))
+
+
+@_query(sql.query((*sql.TEXT_TUPLETS, "lab AS (SELECT label, row_number() OVER (ORDER BY label) AS id FROM (SELECT DISTINCT label FROM mentions))"), """SELECT doc_id, a.id AS entity_one_id, l1 AS entity_one_label, l1 AS entity_one_span_text, s1 AS entity_one_span_start,
+e1 AS entity_one_span_end, b.id AS entity_two_id, l2 AS entity_two_label, l2 AS entity_two_span_text, s2 AS entity_two_span_start, e2 AS entity_two_span_end FROM tuplets JOIN lab a ON a.label = l1 JOIN lab b ON b.label = l2"""))
+def tuplet_table(spark, d):
+    t = c.tuplets(spark, d).withColumns({"one_label": F.col("one_text"), "two_label": F.col("two_text")})
+    return lookup.tuplet_table(t, mapping.ranked_ids(c.mentions(spark, d).select("label").distinct(), ["label"]))
+
+
+@_query(sql.query((*sql.TEXT_ENTITIES, _ATTR), """SELECT e.label AS id, e.label, frequency, doc_frequency, array_to_string(list_sort(list(DISTINCT value) FILTER (name = 'lang')), ',') AS lang,
+array_to_string(list_sort(list(DISTINCT value) FILTER (name = 'source')), ',') AS source FROM entities e JOIN mentions m ON m.label = e.label JOIN cats USING (doc_id) GROUP BY e.label, frequency, doc_frequency"""))
+def entity_details(spark, d):
+    m = c.mentions(spark, d)
+    cats = stats.target_categories(m, c.attributes(spark, d), ["label"]).withColumnRenamed("label", "id")
+    alt = m.select("label").distinct().withColumn("alt_labels", F.array().cast("array<string>"))
+    out = lookup.details(c.nodes(spark, d), cats, alt, stats.STATS)
+    return out.select("id", "label", "stats.frequency", "stats.doc_frequency", *[F.array_join(F.element_at("categories", n), ",").alias(n) for n in ("lang", "source")])
+
+
+@_query(sql.query(sql.TEXT, f"SELECT doc_id, count(DISTINCT label) AS n_matched, array_to_string(list_sort(list(DISTINCT label)), ',') AS matched FROM mentions WHERE label IN ({_GIVEN_SQL}) GROUP BY doc_id ORDER BY n_matched DESC, doc_id LIMIT 50 OFFSET 50"))
+def docs_by_focus(spark, d):
+    found = lookup.docs_by_focus(c.mentions(spark, d), "label", _GIVEN)
+    return lookup.page(found, [F.desc("n_matched"), "doc_id"], 50, 50).select("doc_id", "n_matched", F.array_join("matched", ",").alias("matched"))
+
+
+@_query(sql.query(sql.TEXT_ENTITIES, "SELECT label AS id, frequency FROM entities WHERE label IN (SELECT DISTINCT label FROM mentions WHERE length(label) <= 5)"))
+def nodes_by_many_ids(spark, d):
+    ids = [r["label"] for r in c.mentions(spark, d).filter(F.length("label") <= 5).select("label").distinct().collect()]  # as a caller's list
+    return lookup.get_multiple(c.nodes(spark, d), ids).select("id", "frequency")
+
+
+# communities that edges cross: entities by their first letter
+_LETTERS = """members AS (SELECT label AS id, substr(label, 1, 1) AS community FROM entities),
+sizes AS (SELECT community, count(*) AS n FROM members GROUP BY community),
+ed AS (SELECT one AS a, two AS b, CAST(frequency AS DOUBLE) AS weight FROM pairs WHERE one <> two),
+crossed AS (SELECT weight, substr(a, 1, 1) AS ca, substr(b, 1, 1) AS cb FROM ed),
+inn AS (SELECT ca AS community, count(*) AS e, avg(weight) AS w FROM crossed WHERE ca = cb GROUP BY ca),
+cut AS (SELECT community, count(*) AS x FROM (SELECT ca AS community FROM crossed WHERE ca <> cb UNION ALL SELECT cb FROM crossed WHERE ca <> cb) GROUP BY community),
+measured AS (SELECT community, n, coalesce(e, 0) AS e, coalesce(w, 0.0) AS w, coalesce(x, 0) AS x, CASE WHEN n > 1 THEN coalesce(e, 0) / (n * (n - 1) / 2.0) ELSE 0.0 END AS density,
+    CASE WHEN coalesce(x, 0) + 2 * coalesce(e, 0) > 0 THEN coalesce(x, 0)::DOUBLE / (coalesce(x, 0) + 2 * coalesce(e, 0)) ELSE 0.0 END AS conductance FROM sizes LEFT JOIN inn USING (community) LEFT JOIN cut USING (community))"""
+
+
+def _lettered(spark, d):
+    pairs = c.tuplets(spark, d).groupBy("entity_one", "entity_two").agg(F.count("*").cast("double").alias("weight")).filter("entity_one <> entity_two")
+    members = c.mentions(spark, d).select(F.substring("label", 1, 1).alias("community"), F.col("label").alias("id")).distinct()
+    return members, pairs.select(F.col("entity_one").alias("a"), F.col("entity_two").alias("b"), "weight")
+
+
+@_query(sql.query((*sql.TEXT_TUPLETS, sql.ENTITIES, sql.PAIRS, _LETTERS), """SELECT community, n AS n_members, e AS n_edges, round(density, 6)::DOUBLE AS density, round(w, 6)::DOUBLE AS avg_weight, round(conductance, 6) AS conductance,
+round(density * (1 - conductance), 6)::DOUBLE AS score FROM measured"""))
+def crossed_community_metrics(spark, d):
+    return c.rounded(community.metrics(*_lettered(spark, d)), "density", "avg_weight", "conductance", "score")
+
+
+@_query(sql.query((*sql.TEXT_TUPLETS, sql.ENTITIES, sql.PAIRS, _LETTERS), "SELECT ca AS community, count(*) AS n_edges, sum(weight) AS weight FROM crossed WHERE ca = cb GROUP BY ca"))
+def community_inner_edges(spark, d):
+    out = community.inner_edges(*_lettered(spark, d))
+    return out.select("community", F.size("edges").cast("long").alias("n_edges"), F.aggregate("edges", F.lit(0.0), lambda s, e: s + e["weight"]).alias("weight"))
