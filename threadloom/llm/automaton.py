@@ -7,6 +7,7 @@ quantifiers ``? * + {n} {n,} {n,m}``.
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 from dataclasses import dataclass
 
@@ -213,10 +214,10 @@ class Dfa:
     accept: np.ndarray
 
     @property
-    def rows(self) -> list[list]:
+    def rows(self) -> list[array]:
         """For each state its 256 next states and, last, its rules; for a scan of single texts."""
         full = self.next[:, self.kind]
-        return [[*map(int, full[s]), int(self.accept[s])] for s in range(len(full))]
+        return [array("Q", [*map(int, full[s]), int(self.accept[s])]) for s in range(len(full))]
 
 
 def compile_rules(rules: list[Rule], anchored: bool = False) -> Dfa:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import shared
 from . import textcode as tc
 from .automaton import Rule
-from .secrets import LANE_BYTES, raw_bytes, scanner
+from .secrets import LANE_BYTES, Scanner, raw_bytes, scanner
 
 #: Kinds of protected entities; where two overlap, the one that starts first, then the longer, then the earlier here counts.
 ENTITIES = (
@@ -68,9 +68,9 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield a, b, data, off, part
 
 
-def entities(raw: bytes, mask: int, rules: tuple[Rule, ...]) -> list[tuple[int, int, str]]:
+def entities(raw: bytes, mask: int, rules: tuple[Rule, ...], scan: Scanner | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the protected entities of a text, in order and without overlap."""
-    scan = scanner(rules)
+    scan = scan or scanner(rules)
     found = [(s, -e, k) for k in range(len(rules)) if mask >> k & 1 for s, e in scan.spans(k, raw)]
     out: list[tuple[int, int, str]] = []
     for s, e, k in sorted(found):
@@ -87,14 +87,17 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 def contexts(docs: DataFrame, rules: tuple[Rule, ...] = ENTITIES, window: int = WINDOW) -> DataFrame:
     """(entity, context, terms): hashes of every entity occurrence, of its context, and of the context's distinct terms."""
 
+    known = docs.sparkSession.sparkContext.broadcast(scanner(rules))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = known.value
         for batch in batches:
             for _, _, data, off, _ in _texts(batch.column(0)):
                 ent, ctx, terms = [], [], []
-                masks = scanner(rules).masks(data, off)
+                masks = scan.masks(data, off)
                 for i in np.flatnonzero(masks).tolist():
                     raw = data[off[i] : off[i + 1]].tobytes()
-                    spans = entities(raw, int(masks[i]), rules)
+                    spans = entities(raw, int(masks[i]), rules, scan)
                     starts = [s for s, _, _ in spans]
                     words = []
                     for m in _WORD.finditer(raw):
@@ -198,14 +201,15 @@ def sanitise(docs: DataFrame, rules: tuple[Rule, ...] = ENTITIES, window: int =
     def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, off, part in _texts(batch.column(1)):
-                masks = scanner(rules).masks(data, off)
+                scan = known.value
+                masks = scan.masks(data, off)
                 count = np.zeros(b - a, np.int32)
                 texts = batch.column(1).slice(a, b - a)
                 if masks.any():
                     changed = texts.to_pylist()
                     for i in np.flatnonzero(masks).tolist():
                         raw = data[off[i] : off[i + 1]].tobytes()
-                        spans = entities(raw, int(masks[i]), rules)
+                        spans = entities(raw, int(masks[i]), rules, scan)
                         count[i] = len(spans)
                         if spans:
                             changed[i] = _replace(raw, [(s, e, f"[{kind}]".encode()) for s, e, kind in spans])
@@ -213,15 +217,21 @@ def sanitise(docs: DataFrame, rules: tuple[Rule, ...] = ENTITIES, window: int =
                 zero = pa.array(np.zeros(b - a, np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), texts, pa.array(count), zero, zero], ["doc_id", "text", "n_entities", "n_generalised", "n_removed"])
 
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
+    known = sc.broadcast(scanner(rules))
     terms = disclosure(docs, rules, window, min_support, generalise_from, slice_terms)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hide, _SCHEMA)
-    removed = terms.filter(F.col("score") >= remove_from)
-    for part, lost in itertools.chain(
-        ((np.zeros(0, np.uint64), lost) for lost in _slices(removed, slice_terms)),
-        ((part, np.zeros(0, np.uint64)) for part in _slices(terms.filter(F.col("score") < remove_from), slice_terms)),
-    ):
-        out = out.mapInArrow(_drop_terms(spark.sparkContext.broadcast((part, lost))), _SCHEMA)
+    pairs = itertools.zip_longest(
+        _slices(terms.filter(F.col("score") < remove_from), slice_terms), _slices(terms.filter(F.col("score") >= remove_from), slice_terms), fillvalue=np.zeros(0, np.uint64)
+    )
+    steps = [_drop_terms(sc.broadcast(pair)) for pair in pairs]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return steps[0](hide(batches)) if steps else hide(batches)
+
+    # one Python worker hides and drops; only further slices of terms take another
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(first, _SCHEMA)
+    for step in steps[1:]:
+        out = out.mapInArrow(step, _SCHEMA)
     return out
 
 

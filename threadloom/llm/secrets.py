@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -165,12 +166,12 @@ class Scanner:
         return out
 
 
-def _anchored(rule: Rule) -> list[list[int]]:
+def _anchored(rule: Rule) -> list[array]:
     """Rows of next states; then the number of the dead state and whether the state accepts."""
     dfa: Dfa = compile_rules([rule], anchored=True)
     dead = [s for s in range(len(dfa.next)) if not dfa.accept[s] and (dfa.next[s] == s).all()]
     full = dfa.next[:, dfa.kind]
-    return [[*map(int, full[s]), dead[0] if dead else -1, int(dfa.accept[s] != 0)] for s in range(len(full))]
+    return [array("i", [*map(int, full[s]), dead[0] if dead else -1, int(dfa.accept[s] != 0)]) for s in range(len(full))]
 
 
 @lru_cache(maxsize=4)
