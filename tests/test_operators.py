@@ -295,3 +295,10 @@ def test_spans_are_taken_in_order(spark):
             kept.add((d, s, e))
     got = extract.greedy_spans(spark.createDataFrame(rows, "doc_id long, span_start int, span_end int, n_tokens int, priority int"))
     assert sorted(map(tuple, got.select("doc_id", "span_start", "span_end").collect())) == sorted(kept)
+
+
+def test_phrases(spark):
+    df = docs(spark, "The old king of northern France saw a dragon's lair, and then he wrote to Queen Anne.", "", "of the")
+    got = [(r["span_start"], r["span_text"]) for r in extract.mentions(df, extract.phrase_extractor()).orderBy("span_start").collect()]
+    assert got == [(4, "old king"), (16, "northern France saw"), (38, "dragon's lair"), (65, "wrote"), (74, "Queen Anne")]
+    assert [r["span_text"] for r in extract.mentions(df, extract.phrase_extractor(low=2, high=2)).orderBy("span_start").collect()] == ["old king", "dragon's lair", "Queen Anne"]

@@ -35,6 +35,28 @@ def gazetteer_extractor(names: list[str]) -> Extractor:
     return regex_extractor(rf"\b(?:{alternatives})\b")
 
 
+#: Words that end a phrase: determiners, pronouns, prepositions, conjunctions, auxiliaries and common adverbs of English.
+STOP_WORDS = tuple(
+    "a an the this that these those every each either neither some any no another all both such own same other few more most several many much "
+    "i me my mine myself we us our ours you your yours he him his himself she her hers herself it its itself they them their theirs themselves one who whom whose which what "
+    "of in at from with by for on about into to as over under after before between through during against among without within along across behind beyond near since until upon toward towards off out up down "
+    "and or but nor so yet if because although though while whereas unless than whether when where why how "
+    "be am is are was were been being have has had having do does did doing done can could will would shall should may might must not "
+    "there here then now just only also very too again once ever never always often still already".split()
+)
+
+
+def phrase_extractor(stop_words: tuple[str, ...] = STOP_WORDS, low: int = 1, high: int | None = None) -> Extractor:
+    """Mentions are the longest runs of words without a stop word or punctuation, of ``low`` to ``high`` words: noun chunks by rule."""
+    word = rf"(?!(?i:{'|'.join(map(_escaped, stop_words))})\b)\p{{L}}[\p{{L}}\p{{N}}'’-]*"
+    runs = regex_extractor(rf"(?<![\p{{L}}\p{{N}}'’-]){word}(?: {word})*")
+
+    def spans() -> Column:
+        return F.filter(runs(), lambda s: in_length_range(F.size(F.split(s["span_text"], " ")), low, None if high is None else high + 1))
+
+    return spans
+
+
 def _escaped(name: str) -> str:
     return "".join(c if c.isalnum() or c.isspace() or ord(c) > 127 else "\\" + c for c in name)
 
