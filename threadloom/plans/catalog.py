@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import analytics, community, contexts, cooccur, extract, filters, graph, lookup, mapping, stats
 from ..operators.filters import GraphFilter
 from ..sources.scratch import written
@@ -652,3 +653,26 @@ def crossed_community_metrics(spark, d):
 def community_inner_edges(spark, d):
     out = community.inner_edges(*_lettered(spark, d))
     return out.select("community", F.size("edges").cast("long").alias("n_edges"), F.aggregate("edges", F.lit(0.0), lambda s, e: s + e["weight"]).alias("weight"))
+
+
+# labels of one and two words, of which the rankings choose differently: labels of even length also stand, twice as often, after a determiner
+_DETERMINERS = ", ".join(f"'{w}'" for w in tx.DETERMINERS)
+_PHRASES = f"""phrases AS (SELECT label, lower(label) AS norm, 1 AS words FROM mentions WHERE lower(label) NOT IN ({_DETERMINERS})
+    UNION ALL SELECT 'The ' || label, lower(label), 2 FROM mentions, range(2) WHERE length(label) % 2 = 0 AND lower(label) NOT IN ({_DETERMINERS})),
+counts AS (SELECT label, norm, words, count(*) AS n FROM phrases GROUP BY ALL)"""
+
+
+def _phrases(spark, d):
+    one = c.mentions(spark, d).select("label").filter(~F.lower("label").isin(*tx.DETERMINERS))
+    two = one.filter(F.length("label") % 2 == 0).select(F.concat(F.lit("The "), "label").alias("label"))
+    return one.unionByName(two).unionByName(two)
+
+
+@_query(sql.query((*sql.TEXT, _PHRASES), "SELECT label, first_value(label) OVER (PARTITION BY norm ORDER BY words, n DESC, label) AS canonical FROM counts"))
+def normalize_phrases_shortest(spark, d):
+    return mapping.normalized(_phrases(spark, d), mapping.lower, "shortest")
+
+
+@_query(sql.query((*sql.TEXT, _PHRASES), "SELECT label, first_value(label) OVER (PARTITION BY norm ORDER BY n DESC, words, label) AS canonical FROM counts"))
+def normalize_phrases_most_frequent(spark, d):
+    return mapping.normalized(_phrases(spark, d), mapping.lower, "most_frequent")
