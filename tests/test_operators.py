@@ -302,3 +302,17 @@ def test_phrases(spark):
     got = [(r["span_start"], r["span_text"]) for r in extract.mentions(df, extract.phrase_extractor()).orderBy("span_start").collect()]
     assert got == [(4, "old king"), (16, "northern France saw"), (38, "dragon's lair"), (65, "wrote"), (74, "Queen Anne")]
     assert [r["span_text"] for r in extract.mentions(df, extract.phrase_extractor(low=2, high=2)).orderBy("span_start").collect()] == ["old king", "dragon's lair", "Queen Anne"]
+
+
+def test_louvain_by_rounds_is_about_as_good(spark):
+    rng = random.Random(8)
+    pairs = {tuple(sorted((i, j))) for i in range(60) for j in range(60) if i != j and rng.random() < (0.5 if i // 12 == j // 12 else 0.03)}
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(pairs)], "a long, b long, weight double")
+    vertices = spark.range(0, 62)
+    value = {}
+    for one_task in (10**6, 0):
+        members = community.louvain(vertices, edges, 1.0, one_task)
+        rows = members.collect()
+        assert sorted(r["id"] for r in rows) == list(range(62)) and all(r["community"] <= r["id"] for r in rows)
+        value[one_task] = community.modularity(members, edges).first()[0]
+    assert value[0] > 0.95 * value[10**6] > 0.4

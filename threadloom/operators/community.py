@@ -174,15 +174,67 @@ def louvain_partition(edges: list[tuple], resolution: float = 1.0) -> dict:
     return member
 
 
-def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 1.5) -> DataFrame:
+def _moved(arcs: DataFrame, resolution: float) -> DataFrame:
+    """(u, c): a local optimum of moving single vertices, by rounds in which about half of them may move at once.
+
+    ``arcs`` has (root, u, v, w), both directions, a loop once.  The rounds end when
+    three of them have not made the modularity better; the best partition is given.
+    """
+    strength = arcs.groupBy("root", "u").agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k"))
+    strength = written(strength.join(strength.groupBy("root").agg(F.sum("k").alias("m2")), "root"), "strengths")
+    own = written(strength.select("u", F.col("u").alias("c")), "moves")
+    best, best_own, stale, round_ = float("-inf"), own, 0, 0
+    while stale < 3:
+        at = strength.join(own, "u")
+        total = at.groupBy("c").agg(F.sum("k").alias("t"))
+        near = arcs.filter("u <> v").join(own.select(F.col("u").alias("v"), "c"), "v").select("u", "c", "w")
+        near = near.unionByName(own.select("u", "c", F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
+        scored = near.join(total, "c").join(at.select("u", "k", "m2", F.col("c").alias("here")), "u")
+        rest = F.col("t") - F.when(F.col("c") == F.col("here"), F.col("k")).otherwise(0.0)
+        scored = scored.withColumn("gain", F.col("w") - resolution * F.col("k") * rest / F.col("m2"))
+        chosen = scored.groupBy("u").agg(F.max("here").alias("here"), F.max("gain").alias("top"), F.min_by("c", F.struct(-F.col("gain"), "c")).alias("to"), F.max(F.when(F.col("c") == F.col("here"), F.col("gain"))).alias("stay"))
+        goes = (F.col("top") > F.col("stay") + 1e-9) & (F.pmod(F.xxhash64("u", F.lit(round_)), F.lit(2)) == 0)
+        own = written(chosen.select("u", F.when(goes, F.col("to")).otherwise(F.col("here")).alias("c")), "moves")
+        ends = arcs.join(own, "u").join(own.select(F.col("u").alias("v"), F.col("c").alias("d")), "v")
+        inner = ends.filter("c = d").groupBy("root").agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("inner"))
+        sums = strength.join(own, "u").groupBy("root", "m2", "c").agg(F.sum("k").alias("t")).groupBy("root", "m2").agg(F.sum((F.col("t") / F.col("m2")) ** 2).alias("squares"))
+        value = sums.join(inner, "root", "left").agg(F.sum(F.coalesce("inner", F.lit(0.0)) / F.col("m2") - resolution * F.col("squares"))).first()[0] or 0.0
+        better = value > best + 1e-7
+        best, best_own, stale = (value, own, 0) if better else (best, best_own, stale + 1)
+        round_ += 1
+    return best_own
+
+
+def _louvain_by_rounds(placed: DataFrame, resolution: float) -> DataFrame:
+    """(community, id) of the edges (root, a, b, weight): local moving and merging, all by joins and aggregations."""
+    edge = placed.select("root", F.col("a").alias("u"), F.col("b").alias("v"), F.col("weight").alias("w"))
+    arcs = edge.unionByName(edge.filter("u <> v").select("root", F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    arcs = written(arcs.groupBy("root", "u", "v").agg(F.sum("w").alias("w")), "arcs")
+    member = written(arcs.select(F.col("u").alias("id"), F.col("u").alias("community")).distinct(), "members")
+    while True:
+        own = _moved(arcs, resolution)
+        if not own.filter("u <> c").limit(1).count():
+            break
+        member = written(member.join(own.withColumnRenamed("u", "community"), "community").select("id", F.col("c").alias("community")), "members")
+        ends = arcs.join(own, "u").join(own.select(F.col("u").alias("v"), F.col("c").alias("d")), "v")
+        half = F.when((F.col("c") == F.col("d")) & (F.col("u") != F.col("v")), F.col("w") / 2).otherwise(F.col("w"))  # an inner edge comes twice, a loop once
+        arcs = written(ends.groupBy("root", "c", "d").agg(F.sum(half).alias("w")).select("root", F.col("c").alias("u"), F.col("d").alias("v"), "w"), "arcs")
+    least = member.groupBy("community").agg(F.min("id").alias("least"))
+    return member.join(least, "community").select(F.col("least").alias("community"), "id")
+
+
+def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 1.5, one_task: int = ONE_TASK_LINKS) -> DataFrame:
     """(community, id) by Louvain's method, each connected component by itself; single vertices too.
 
-    A component is worked on by one task, as the method is sequential, and the
-    components in parallel.  A community is named by its least member.
+    Components of up to ``one_task`` edges, which are counted, are each worked
+    through by one task, vertex by vertex, and in parallel.  In larger ones the
+    vertices move in rounds of joins and aggregations, many at once, which may end
+    in another optimum.  A community is named by its least member.
     """
     kind = dict(vertices.dtypes)["id"]
     roots = connected(vertices, edges)
     placed = edges.join(roots.withColumnRenamed("id", "a"), "a").select(F.col("community").alias("root"), "a", "b", "weight")
+    large = written(placed.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > one_task).select("root"), "large-components")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = louvain_partition(list(pdf[["a", "b", "weight"]].sort_values(["a", "b"]).itertuples(index=False, name=None)), resolution)
@@ -191,7 +243,9 @@ def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 1.5) -> D
             least.setdefault(found[v], v)
         return pd.DataFrame({"community": [least[found[v]] for v in found], "id": list(found)})
 
-    grouped = placed.groupBy("root").applyInPandas(run, f"community {kind}, id {kind}")
+    grouped = placed.join(large, "root", "left_anti").groupBy("root").applyInPandas(run, f"community {kind}, id {kind}")
+    if large.limit(1).count():
+        grouped = grouped.unionByName(_louvain_by_rounds(written(placed.join(large, "root"), "large"), resolution))
     return vertices.join(grouped, "id", "left").select(F.coalesce("community", "id").alias("community"), "id")
 
 
