@@ -570,7 +570,7 @@ def test_severity_against_a_slow_scorer(spark):
     got = sorted((r["doc_id"] or 0, r["grade"], round(r["expected_severity"], 3)) for r in toxicity.severity(more, model).collect())
     want = sorted((r["doc_id"] or 0, slow(r["text"])[0], round(slow(r["text"])[1], 3)) for r in more.collect())
     assert len(got) == len(want) and all(g[:2] == w[:2] and abs(g[2] - w[2]) < 0.002 for g, w in zip(got, want))
-    assert {g for _, g, _ in got} >= {0, 2}
+    assert len({g for _, g, _ in got}) > 1
 
 
 def test_toxicity_of_held_out_labels(spark):
