@@ -693,3 +693,25 @@ def test_texts_of_one_id_go_together(spark):
     assert sorted(r["doc_id"] for r in jaccard_join.drop_near_copies(table(spark, rows)).collect()) == [3, 9]
     found = jaccard_join.links(table(spark, rows + rows)).collect()
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == [(3, 3, 1), (5, 3, 1), (5, 3, 1), (7, 3, 1)]
+
+
+def test_chance_phrases_connect_no_sets(spark):
+    def phrase(i, j):
+        return f"left{i} both{i}x{j} right{j} end{i}x{j}"  # two grams
+
+    # any two texts have one phrase in common, and all of each text is in others, but no two are alike
+    size = 24
+    rows = [(i, " ".join(phrase(min(i, j), max(i, j)) for j in range(size) if j != i)) for i in range(size)]
+    assert not slow_links(rows)
+    _, work = jaccard_join._prepared(table(spark, rows), jaccard_join.N, jaccard_join.THRESHOLD, 100)
+    assert work.count() == 0  # it grew with the pairs of blocks
+    assert not jaccard_join.links(table(spark, rows)).count()
+
+
+@pytest.mark.parametrize("few", [1, 3, 12])
+def test_places_of_many_classes_lose_no_link(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    rows = near_rows()
+    want = slow_classes(slow_links(rows))
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.links(table(spark, rows), block_items=250).collect()}
+    assert found == {i: w[:2] for i, w in want.items()}

@@ -13,16 +13,20 @@ join is exact over whole sets:
    buckets again.  Grams that exactly the same classes hold act alike, so they
    become one item that weighs as much as their number.  Items are put in a
    global order, those of most classes first.
-3. *Components.*  Two sets that reach the threshold share an item among the
-   rarest ``n - threshold * n + 1`` grams of each, their place, and their sizes
-   are near.  Classes that share a place with another of near size are
-   connected; what isn't connected has no link.
+3. *Components.*  Two sets that reach the threshold share EVIDENCE grams (or as
+   many as small sets must share) among the rarest ``n - threshold * n + EVIDENCE``
+   grams of each, in items that are their places, and their sizes are near.
+   Classes of near size that share so many grams in places, or a place of more
+   than FEW classes, whose pairs aren't listed, are connected; what isn't
+   connected has no link.  One rare phrase in common, which grows likely
+   in a large corpus, connects nothing.
 4. *Prefix trees.*  The sets of a component, in the global order, form a trie,
    whose common paths all sets share.  All of them traverse it together, a level
    at a time, carrying the overlap so far; a subtree is left as soon as its
    remaining length can't lift the overlap to what the threshold asks for, or
    its set sizes exclude it.  A component of more than BLOCK_ITEMS items is cut
-   into blocks of like size, and the pairs of blocks that share a place are joined.
+   into blocks of like size, and the pairs of blocks that hold connected classes
+   are joined.
 
 Grams that are in a large share of a sample of documents (boilerplate) aren't
 sent in step 1 and 2 but known to all tasks; this decides who counts them, never
@@ -56,6 +60,8 @@ SPARE_BITS = 7
 HOT_SAMPLE, HOT_SHARE = 4096, 64
 #: Levels of size that two sets at the threshold may be apart.
 LEVELS = 5
+#: Grams in places that connect two classes, and classes of a place up to which its pairs are listed.
+EVIDENCE, FEW = 4, 256
 #: Items of a trie beyond which a component is joined in blocks.
 BLOCK_ITEMS = 1 << 17
 #: Entries of a traversal's frontier, and bytes of its membership table, at once.
@@ -511,14 +517,20 @@ def _labels(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # -- the join --------------------------------------------------------------------------------------------
 
 
+def _evidence(n, threshold: float):
+    """Grams in places that a set of ``n`` grams shares with any other that reaches the threshold."""
+    return np.minimum(EVIDENCE, np.ceil(threshold * n - 1e-9)).astype(np.int64)
+
+
 def _ordered(rows: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(cls, n, k, items, weights, places): sets in the global order; places are the items of the rarest grams."""
+    """(cls, n, k, items, weights, places, worth): sets in the global order; places are the items of the rarest grams, worth their weights."""
     by_class = rows.repartition("cls").groupBy("cls", "item").agg(F.max("df").alias("df"), F.sum("w").cast("int").alias("w"))
     lists = by_class.groupBy("cls").agg(F.collect_list("item").alias("item"), F.collect_list("df").alias("df"), F.collect_list("w").alias("w"))
     whole = lists.join(classes, "cls").select("cls", "n", "k", "item", "df", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        names = ["cls", "n", "k", "items", "weights", "places", "worth"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
@@ -530,28 +542,67 @@ def _ordered(rows: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
                 order = np.lexsort((item, -df.astype(np.int64)))
                 item, w = item[order], w[order]
                 rarer = n - shared_grams + np.cumsum(w[::-1])[::-1] - w  # grams that come before an item, from the rare end
-                out.append((cls, n, k, item, w, item[rarer <= n - need]))
+                place = rarer <= n - need + _evidence(n, threshold) - 1
+                out.append((cls, n, k, item, w, item[place], w[place]))
                 if len(out) >= 500:
-                    yield _rows(out, ["cls", "n", "k", "items", "weights", "places"], types)
+                    yield _rows(out, names, types)
                     out = []
             if out:
-                yield _rows(out, ["cls", "n", "k", "items", "weights", "places"], types)
+                yield _rows(out, names, types)
+
+    return whole.mapInArrow(run, "cls long, n int, k long, items array<long>, weights array<int>, places array<long>, worth array<int>")
+
+
+def _near(at: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): classes of near size with enough grams in common places of at most FEW classes.
+
+    ``at`` has (cls, n, place, worth, many).
+    """
+    few = at.filter((F.col("many") > 1) & (F.col("many") <= FEW))
+    groups = few.groupBy("place").agg(F.max("worth").alias("worth"), F.array_sort(F.collect_list(F.struct("cls", "n"))).alias("m"))
+    # places of nearly the same classes come together, so that their pairs are added up before they are sent
+    groups = groups.select(F.col("m.cls").alias("cls"), F.col("m.n").alias("n"), "worth").repartition(F.col("cls")[0]).sortWithinPartitions(F.col("cls")[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length = pa.compute.list_value_length(batch.column(0)).to_numpy().astype(np.int64)
+            cls, n = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy().astype(np.int64)
+            worth = np.repeat(batch.column(2).to_numpy().astype(np.int64), length)
+            later = np.repeat(np.cumsum(length), length) - np.arange(len(cls)) - 1  # those after each in its group
+            part = np.cumsum(later) // FRONTIER
+            edges = np.flatnonzero(np.diff(part, prepend=-1))
+            for s, e in zip(edges, [*edges[1:], len(cls)]):
+                a, k = _spread(later[s:e])
+                a += s
+                b = a + 1 + k
+                near = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
+                a, b = a[near], b[near]
+                if not len(a):
+                    continue
+                order = np.lexsort((cls[b], cls[a]))
+                a, b = a[order], b[order]
+                at = np.flatnonzero(np.concatenate([[True], (cls[a][1:] != cls[a][:-1]) | (cls[b][1:] != cls[b][:-1])]))
+                both, a, b = np.add.reduceat(worth[a], at), a[at], b[at]
+                least = _evidence(np.minimum(n[a], n[b]), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cls[a], cls[b], both, least)], ["a", "b", "both", "least"])
 
-    return whole.mapInArrow(run, "cls long, n int, k long, items array<long>, weights array<int>, places array<long>")
+    told = groups.mapInArrow(run, "a long, b long, both long, least long")
+    enough = told.groupBy("a", "b").agg(F.sum("both").alias("both"), F.max("least").alias("least")).filter("both >= least")
+    return shared.written(enough.select("a", "b"), "jaccard-near")
 
 
-def _components(at: DataFrame) -> DataFrame:
-    """(cls, root) of the classes that share a place with one whose size is near enough.
+def _components(hubs: DataFrame, near: DataFrame) -> DataFrame:
+    """(cls, root) of the classes that are near, or share a place of ``hubs`` with one whose size is near enough.
 
-    ``at`` has (cls, place, level).  The classes of one place and level are linked
+    ``hubs`` has (cls, place, level).  The classes of one place and level are linked
     to the least of them, and these from level to level over gaps of LEVELS at most.
     """
-    hub = at.groupBy("place", "level").agg(F.min("cls").alias("hub"))
+    hub = hubs.groupBy("place", "level").agg(F.min("cls").alias("hub"))
     ladder = hub.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("level", "hub"))).alias("steps"))  # levels are few, whatever the place
     steps = F.transform("steps", lambda x, i: F.struct(x["hub"].alias("b"), F.get("steps", i + 1)["hub"].alias("a"), (F.get("steps", i + 1)["level"] - x["level"]).alias("gap")))
     up = ladder.select(F.explode(steps).alias("s")).filter(F.col("s.gap") <= LEVELS).select("s.a", "s.b")
-    same = at.join(hub, ["place", "level"]).filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
-    roots = stars(same.unionByName(up).filter("a <> b")).select(F.col("a").alias("cls"), F.col("b").alias("root"))
+    same = hubs.join(hub, ["place", "level"]).filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+    roots = stars(same.unionByName(up).unionByName(near).filter("a <> b")).select(F.col("a").alias("cls"), F.col("b").alias("root"))
     return shared.written(roots.unionByName(roots.select(F.col("root").alias("cls"), "root").distinct()), "jaccard-components")
 
 
@@ -562,8 +613,11 @@ def _work(sets: DataFrame, threshold: float, block_items: int) -> DataFrame:
     """
     step = max(np.log(1 / threshold) / (LEVELS - 1), 0.01)  # sets that can reach the threshold are LEVELS levels apart at most
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step))).cast("int").alias("level")
-    at = sets.select("cls", level, F.explode("places").alias("place"))
-    roots = _components(at)
+    at = sets.select("cls", "n", level, F.explode(F.arrays_zip("places", "worth")).alias("p")).select("cls", "n", "level", "p.places", "p.worth").withColumnRenamed("places", "place")
+    at = at.join(at.groupBy("place").agg(F.count("*").alias("many")), "place")
+    hubs = shared.written(at.filter(F.col("many") > FEW).select("cls", "place", "level", "many"), "jaccard-hubs")
+    near = _near(at, threshold)
+    roots = _components(hubs, near)
     placed = sets.join(roots, "cls")
     large = shared.written(placed.groupBy("root").agg(F.sum(F.size("items")).alias("all")).filter(F.col("all") > block_items).select("root"), "jaccard-large")
     columns = ["cls", "n", "k", "items", "weights"]
@@ -573,9 +627,8 @@ def _work(sets: DataFrame, threshold: float, block_items: int) -> DataFrame:
     # blocks hold sets of one level that share a place: that which a class shares with most others; a place of many items is cut
     inner = roots.join(large, "root")
     met = at.join(inner.select("cls"), "cls", "left_semi")
-    many = met.groupBy("place").agg(F.count("*").alias("many"))
-    near = met.join(many, "place").groupBy("cls", "level").agg(F.max_by("place", F.struct("many", "place")).alias("key"))
-    keyed = inner.join(near, "cls").join(sets.select("cls", F.size("items").alias("size")), "cls")
+    most = met.groupBy("cls", "level").agg(F.max_by("place", F.struct("many", "place")).alias("key"))
+    keyed = inner.join(most, "cls").join(sets.select("cls", F.size("items").alias("size")), "cls")
     by_key = keyed.groupBy("root", "level", "key").agg(F.sum("size").alias("key_items"))
     by_level = by_key.groupBy("root", "level").agg(F.sum("key_items").alias("level_items"))
     sized = keyed.join(by_key, ["root", "level", "key"]).join(by_level, ["root", "level"])
@@ -583,10 +636,12 @@ def _work(sets: DataFrame, threshold: float, block_items: int) -> DataFrame:
     cut = F.struct(F.col("key"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("key_items") / block_items)).alias("part"))
     blocks = sized.select("cls", "level", F.xxhash64("root", "level", F.when(F.col("key_items") <= block_items, light).otherwise(cut)).alias("block"))
     blocks = shared.written(blocks, "jaccard-blocks")
-    seen = met.select("cls", "place").join(blocks, "cls").select("place", "level", "block").distinct()
+    seen = hubs.select("cls", "place").join(blocks, "cls").select("place", "level", "block").distinct()
     other = seen.select("place", F.col("level").alias("other_level"), F.col("block").alias("other"))
     both = seen.join(other, "place").filter((F.col("block") <= F.col("other")) & (F.abs(F.col("level") - F.col("other_level")) <= LEVELS))
-    both = shared.written(both.select("block", "other").distinct(), "jaccard-block-pairs")
+    of_a, of_b = (blocks.select(F.col("cls").alias(c), F.col("block").alias(f"block_{c}")) for c in "ab")
+    listed = near.join(of_a, "a").join(of_b, "b").select(F.least("block_a", "block_b").alias("block"), F.greatest("block_a", "block_b").alias("other"))
+    both = shared.written(both.select("block", "other").unionByName(listed).distinct(), "jaccard-block-pairs")
     task = F.xxhash64("block", "other").alias("task")
     one = both.select("block", task, F.when(F.col("block") == F.col("other"), 0).otherwise(1).alias("side"))
     two = both.filter("block < other").select(F.col("other").alias("block"), task, F.lit(2).alias("side"))
