@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -715,3 +716,22 @@ def test_places_of_many_classes_lose_no_link(spark, monkeypatch, few):
     want = slow_classes(slow_links(rows))
     found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.links(table(spark, rows), block_items=250).collect()}
     assert found == {i: w[:2] for i, w in want.items()}
+
+
+def test_scans_hold_little_memory(monkeypatch):
+    monkeypatch.setattr(textcode, "_powers", {})
+    column = pa.array([prose(i, 60) * 10 for i in range(400)] * 5)
+    assert column.nbytes > 4 << 20
+    tracemalloc.start()
+    try:
+        for a, b in textcode.slices(column):
+            features.sparse(column.slice(a, b - a))
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20  # a worker of the pipeline keeps what it once held
+    finally:
+        tracemalloc.stop()
+
+
+def test_filters_take_arrow_texts_with_nulls(spark):
+    bench = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
+    rows = [(1, None), (2, ""), (3, "x " + prose(1, 30)), (4, prose(2, 30))]
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(table(spark, rows), bench).collect()) == [1, 2, 4]

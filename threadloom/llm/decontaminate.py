@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,11 +239,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
 
 
 def _leaks(shared, min_match: int, min_coverage: float):
-    @F.pandas_udf("boolean")
-    def leaks(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def leaks(texts: pa.Array) -> pa.Array:
         hit = np.zeros(len(texts), bool)
-        for row, *_ in _scan(pa.array(texts, pa.string(), from_pandas=True), shared.value, min_match, min_coverage):
+        for row, *_ in _scan(texts, shared.value, min_match, min_coverage):
             hit[row] = True
-        return pd.Series(hit)
+        return pa.array(hit)
 
     return leaks

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are coded at a time; longer single texts are coded alone.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that are coded at a time, which take some 50 times as much memory; longer single texts are coded alone.
+CHUNK_BYTES = 1 << 19
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -202,8 +201,8 @@ def keep_clean(docs: DataFrame, model: OrdinalModel, reject_from: float = REJECT
     """``docs`` without the rows whose expected severity reaches ``reject_from``; a map, without a shuffle."""
     scored = _scorer(docs.sparkSession, model)
 
-    @F.pandas_udf("double")
-    def mean(texts: pd.Series) -> pd.Series:
-        return pd.Series(scored(pa.array(texts, pa.string(), from_pandas=True)).sum(1))
+    @F.arrow_udf("double")
+    def mean(texts: pa.Array) -> pa.Array:
+        return pa.array(scored(texts).sum(1))
 
     return docs.filter(mean("text") < reject_from)
