@@ -73,3 +73,25 @@ def test_parts_of_a_batch_add_up(monkeypatch):
     got = list(sweep.stat_rows(3, ["one", "two"])(iter([batch])))
     assert pa.Table.from_batches(got).to_pydict() == pa.Table.from_batches(want).to_pydict()
     assert pa.Table.from_batches(want).to_pylist()[0] == {"one": "A", "two": "B", "n": 3, "docs": 3, "t0": want[0]["t0"][0].as_py(), "t1": want[0]["t1"][0].as_py(), "o0": 4, "o1": 5}
+
+
+def test_louvain_of_arrays_is_about_as_good(spark):
+    import random
+
+    import numpy as np
+
+    from threadloom.operators import community
+
+    rng = random.Random(5)
+    pairs = sorted({(min(i, j), max(i, j)) for i in range(300) for j in range(300) if i != j and rng.random() < (0.4 if i // 30 == j // 30 else 0.01)})
+    a, b = (np.array(x, dtype=np.int32) for x in zip(*pairs))
+    rows = [(*p, 1.0) for p in pairs] + [(0, 0, 1.0)]
+    member = community.louvain_of_arrays(np.append(a, 0), np.append(b, 0), np.ones(len(rows)), 300)
+    assert all(member[member] == member) and all(member <= np.arange(300)) and len(set(member.tolist())) == 10
+    alone = community.louvain_partition(rows)
+    assert len({(alone[i], int(member[i])) for i in range(300)}) == 10  # the same communities
+    # by Spark, with names in place of numbers, and two components of which one is beyond one task
+    edges = spark.createDataFrame([(f"v{x:03d}", f"v{y:03d}", w) for x, y, w in rows] + [("y", "z", 1.0)], "a string, b string, weight double")
+    vertices = spark.createDataFrame([(f"v{i:03d}",) for i in range(300)] + [("x",), ("y",), ("z",)], "id string")
+    found = {r["id"]: r["community"] for r in community.louvain(vertices, edges, 1.0, one_task=10).collect()}
+    assert found == {f"v{i:03d}": f"v{member[i]:03d}" for i in range(300)} | {"x": "x", "y": "y", "z": "y"}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import written
 from . import filters
 from .filters import GraphFilter
+from .mapping import ranked_ids
 
 
 def community_graph(nodes: DataFrame, rows: DataFrame, f: GraphFilter = GraphFilter(), weight: str = "pmi", min_weight: float = 0.0, node_cats: DataFrame | None = None, edge_cats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -32,6 +33,9 @@ def community_graph(nodes: DataFrame, rows: DataFrame, f: GraphFilter = GraphFil
 DRIVER_ROWS = 5_000_000
 #: Links up to which components are found in one task; the number is counted first.
 ONE_TASK_LINKS = 1_000_000
+#: Edges of a component up to which one task holds them as numbers, in some 2 GB at most; and arcs that it looks at together.
+ARRAY_EDGES = 16_000_000
+BLOCK_ARCS = 1 << 20
 
 
 def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +178,90 @@ def louvain_partition(edges: list[tuple], resolution: float = 1.0) -> dict:
     return member
 
 
+def _in_blocks(u: np.ndarray, v: np.ndarray, w: np.ndarray, loop: np.ndarray, resolution: float) -> np.ndarray:
+    """The community of each vertex after moving single vertices: block by block, of each block about half at once.
+
+    Arcs u -> v come in both directions, sorted by u; ``loop`` is the weight of
+    each vertex's loop.  A block sees where those before it have gone.  The rounds
+    end when three of them have not made the modularity better; the best partition is given.
+    """
+    n = len(loop)
+    off = np.searchsorted(u, np.arange(n + 1))
+    k = np.bincount(u, w, n) + 2 * loop
+    m2 = k.sum()
+    if m2 <= 0:
+        return np.arange(n)
+    cuts = np.unique(np.append(np.searchsorted(off, np.arange(0, len(u), max(1, min(BLOCK_ARCS, len(u) // 16))), side="right") - 1, n))
+    own, total = np.arange(n), k.copy()
+    best, best_own, stale, chance = -np.inf, own.copy(), 0, np.random.default_rng(0)
+    while stale < 3:
+        for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            x, c, weight = u[off[first] : off[last]] - first, own[v[off[first] : off[last]]], w[off[first] : off[last]]
+            here, size = own[first:last], last - first
+            # staying is a choice too, without an arc
+            x, c, weight = np.append(x, np.arange(size)), np.append(c, here), np.append(weight, np.zeros(size))
+            key = x.astype(np.int64) * n + c
+            order = np.argsort(key)
+            key = key[order]
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, weight = key[at], np.add.reduceat(weight[order], at)
+            x, c = key // n, key % n
+            own_k, stays = k[first:last][x], c == here[x]
+            gain = weight - resolution * own_k * (total[c] - np.where(stays, own_k, 0.0)) / m2
+            begin = np.searchsorted(x, np.arange(size))
+            top = np.maximum.reduceat(gain, begin)
+            hit = np.flatnonzero(gain == top[x])
+            to = c[hit[np.searchsorted(x[hit], np.arange(size))]]
+            goes = np.flatnonzero((top > gain[stays] + 1e-9) & (chance.random(size) < 0.5))
+            if len(goes):
+                moved = first + goes
+                total += np.bincount(to[goes], k[moved], n) - np.bincount(own[moved], k[moved], n) if len(goes) > n // 64 else 0.0
+                if len(goes) <= n // 64:
+                    np.subtract.at(total, own[moved], k[moved])
+                    np.add.at(total, to[goes], k[moved])
+                own[moved] = to[goes]
+        total = np.bincount(own, k, n)
+        inner = 2 * loop.sum() + sum(w[i : i + BLOCK_ARCS][own[u[i : i + BLOCK_ARCS]] == own[v[i : i + BLOCK_ARCS]]].sum() for i in range(0, len(u), BLOCK_ARCS))
+        value = inner / m2 - resolution * ((total / m2) ** 2).sum()
+        better = value > best + 1e-6
+        best, best_own, stale = (value, own.copy(), 0) if better else (best, best_own, stale + 1)
+    return best_own
+
+
+def louvain_of_arrays(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: float = 1.0) -> np.ndarray:
+    """Louvain's method on the edges (a, b, w) of the vertices 0 to n - 1: for each vertex the least of its community.
+
+    Takes some hundred bytes for each edge.
+    """
+    member = np.arange(n)
+    loop = np.bincount(a[a == b], w[a == b], n)
+    a, b, w = a[a != b], b[a != b], w[a != b]
+    u, v, w = _merged(np.append(a, b), np.append(b, a), np.append(w, w), n)
+    while True:
+        own = _in_blocks(u, v, w, loop, resolution)
+        names, own = np.unique(own, return_inverse=True)
+        if len(names) == n:
+            break
+        member, n = own[member], len(names)
+        c, d = own[u], own[v]
+        loop = np.bincount(own, loop, n) + np.bincount(c[c == d], w[c == d], n) / 2  # an inner edge comes twice
+        u, v, w = _merged(c[c != d], d[c != d], w[c != d], n)
+    least = np.full(n, len(member))
+    np.minimum.at(least, member, np.arange(len(member)))
+    return least[member]
+
+
+def _merged(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> tuple:
+    """Arcs sorted, each once with the sum of its weights."""
+    key = u.astype(np.int64) * n + v
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    key = key[at]
+    kind = np.int32 if n < 2**31 else np.int64
+    return (key // n).astype(kind), (key % n).astype(kind), np.add.reduceat(w[order], at) if len(at) else w[:0]
+
+
 def _moved(arcs: DataFrame, resolution: float) -> DataFrame:
     """(u, c): a local optimum of moving single vertices, by rounds in which about half of them may move at once.
 
@@ -181,20 +269,20 @@ def _moved(arcs: DataFrame, resolution: float) -> DataFrame:
     three of them have not made the modularity better; the best partition is given.
     """
     strength = arcs.groupBy("root", "u").agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k"))
-    strength = written(strength.join(strength.groupBy("root").agg(F.sum("k").alias("m2")), "root"), "strengths")
-    own = written(strength.select("u", F.col("u").alias("c")), "moves")
+    strength = written(strength.join(strength.groupBy("root").agg(F.sum("k").alias("m2")), "root"), "strengths").hint("merge")
+    own = written(strength.select("u", F.col("u").alias("c")), "moves").hint("merge")  # a broadcast in every round would all go by way of the driver
     best, best_own, stale, round_ = float("-inf"), own, 0, 0
     while stale < 3:
         at = strength.join(own, "u")
         total = at.groupBy("c").agg(F.sum("k").alias("t"))
         near = arcs.filter("u <> v").join(own.select(F.col("u").alias("v"), "c"), "v").select("u", "c", "w")
         near = near.unionByName(own.select("u", "c", F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
-        scored = near.join(total, "c").join(at.select("u", "k", "m2", F.col("c").alias("here")), "u")
+        scored = near.join(total.hint("merge"), "c").join(at.select("u", "k", "m2", F.col("c").alias("here")), "u")
         rest = F.col("t") - F.when(F.col("c") == F.col("here"), F.col("k")).otherwise(0.0)
         scored = scored.withColumn("gain", F.col("w") - resolution * F.col("k") * rest / F.col("m2"))
         chosen = scored.groupBy("u").agg(F.max("here").alias("here"), F.max("gain").alias("top"), F.min_by("c", F.struct(-F.col("gain"), "c")).alias("to"), F.max(F.when(F.col("c") == F.col("here"), F.col("gain"))).alias("stay"))
         goes = (F.col("top") > F.col("stay") + 1e-9) & (F.pmod(F.xxhash64("u", F.lit(round_)), F.lit(2)) == 0)
-        own = written(chosen.select("u", F.when(goes, F.col("to")).otherwise(F.col("here")).alias("c")), "moves")
+        own = written(chosen.select("u", F.when(goes, F.col("to")).otherwise(F.col("here")).alias("c")), "moves").hint("merge")
         ends = arcs.join(own, "u").join(own.select(F.col("u").alias("v"), F.col("c").alias("d")), "v")
         inner = ends.filter("c = d").groupBy("root").agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("inner"))
         sums = strength.join(own, "u").groupBy("root", "m2", "c").agg(F.sum("k").alias("t")).groupBy("root", "m2").agg(F.sum((F.col("t") / F.col("m2")) ** 2).alias("squares"))
@@ -223,18 +311,41 @@ def _louvain_by_rounds(placed: DataFrame, resolution: float) -> DataFrame:
     return member.join(least, "community").select(F.col("least").alias("community"), "id")
 
 
-def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 1.5, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+def _louvain_in_arrays(placed: DataFrame, roots: DataFrame, resolution: float) -> DataFrame:
+    """(community, id) of the edges (root, a, b, weight), each component as arrays of numbers in one task."""
+    ids = roots.join(placed.select(F.col("root").alias("community")).distinct(), "community", "left_semi").select(F.col("id").alias("label"))
+    names = written(ranked_ids(ids, ["label"]).select("label", F.col("id").cast("int").alias("number")), "numbers")
+
+    def named(rows: DataFrame, column: str, name: str) -> DataFrame:
+        return rows.join(names.select(F.col("label").alias(column), F.col("number").alias(name)), column).drop(column)
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, w = (table.column(c).to_numpy() for c in ("x", "y", "weight"))
+        known = np.unique(np.concatenate([np.unique(a), np.unique(b)]))
+        a, b = np.searchsorted(known, a).astype(np.int32), np.searchsorted(known, b).astype(np.int32)
+        del table
+        return pa.table({"c": known[louvain_of_arrays(a, b, w, len(known), resolution)], "i": known})
+
+    found = named(named(placed, "a", "x"), "b", "y").groupBy("root").applyInArrow(run, "c int, i int")
+    for column, name in (("c", "community"), ("i", "id")):
+        found = found.join(names.select(F.col("number").alias(column), F.col("label").alias(name)), column).drop(column)
+    return found.select("community", "id")
+
+
+def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 1.5, one_task: int = ONE_TASK_LINKS, in_arrays: int = ARRAY_EDGES) -> DataFrame:
     """(community, id) by Louvain's method, each connected component by itself; single vertices too.
 
     Components of up to ``one_task`` edges, which are counted, are each worked
-    through by one task, vertex by vertex, and in parallel.  In larger ones the
-    vertices move in rounds of joins and aggregations, many at once, which may end
-    in another optimum.  A community is named by its least member.
+    through by one task, vertex by vertex, and in parallel.  Those of up to
+    ``in_arrays`` edges are held as arrays of numbers in one task, where the vertices
+    move block by block; in larger ones they move in rounds of joins and
+    aggregations, many at once.  Both may end in another optimum.  A community is
+    named by its least member.
     """
     kind = dict(vertices.dtypes)["id"]
-    roots = connected(vertices, edges)
+    roots = written(connected(vertices, edges), "roots")
     placed = edges.join(roots.withColumnRenamed("id", "a"), "a").select(F.col("community").alias("root"), "a", "b", "weight")
-    large = written(placed.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > one_task).select("root"), "large-components")
+    large = written(placed.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > one_task), "large-components")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = louvain_partition(list(pdf[["a", "b", "weight"]].sort_values(["a", "b"]).itertuples(index=False, name=None)), resolution)
@@ -244,8 +355,11 @@ def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 1.5, one_
         return pd.DataFrame({"community": [least[found[v]] for v in found], "id": list(found)})
 
     grouped = placed.join(large, "root", "left_anti").groupBy("root").applyInPandas(run, f"community {kind}, id {kind}")
-    if large.limit(1).count():
-        grouped = grouped.unionByName(_louvain_by_rounds(written(placed.join(large, "root"), "large"), resolution))
+    by_arrays, by_rounds = large.filter(F.col("n") <= in_arrays), large.filter(F.col("n") > in_arrays)
+    if by_arrays.limit(1).count():
+        grouped = grouped.unionByName(_louvain_in_arrays(written(placed.join(by_arrays, "root", "left_semi"), "large"), roots, resolution))
+    if by_rounds.limit(1).count():
+        grouped = grouped.unionByName(_louvain_by_rounds(written(placed.join(by_rounds, "root", "left_semi"), "large"), resolution))
     return vertices.join(grouped, "id", "left").select(F.coalesce("community", "id").alias("community"), "id")
 
 
