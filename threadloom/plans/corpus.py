@@ -74,14 +74,30 @@ def as_edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.concat_ws("|", "entity_one", "entity_two").alias("id"), F.col("entity_one").alias("source"), F.col("entity_two").alias("target"), *own)
 
 
+#: Rows of a table for each partition of what is made of it, where tasks would otherwise take the more memory the larger the table.
+PART_ROWS = 500_000
+
+
+def parts_for(df: DataFrame) -> int:
+    """Partitions for a table, whose rows are counted: as many as the session's shuffles, or as PART_ROWS asks for."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS))
+
+
 def star_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as documents: market segment - return flag - brand, for every line."""
+    """Orders as documents: market segment - return flag - brand, for every line.
+
+    The rows of an order end up in one partition, as counts by order need them, and
+    a partition has about as many rows at any size of the tables.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    n = parts_for(lines)
+    lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).repartition(n, "l_orderkey")
+    orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).repartition(n, "o_orderkey")
     dates = F.to_date("o_orderdate").alias("timestamp"), F.col("o_orderkey").cast("int").alias("timestamp_ordinal")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(F.col("l_orderkey").alias("doc_id"), *dates, F.col("c_mktsegment").alias("subject"), F.col("l_returnflag").alias("predicate"), F.col("p_brand").alias("object"))
 
 
