@@ -95,3 +95,27 @@ def test_louvain_of_arrays_is_about_as_good(spark):
     vertices = spark.createDataFrame([(f"v{i:03d}",) for i in range(300)] + [("x",), ("y",), ("z",)], "id string")
     found = {r["id"]: r["community"] for r in community.louvain(vertices, edges, 1.0, one_task=10).collect()}
     assert found == {f"v{i:03d}": f"v{member[i]:03d}" for i in range(300)} | {"x": "x", "y": "y", "z": "y"}
+
+
+def test_pairs_of_orders(spark, monkeypatch):
+    import pyarrow as pa
+
+    lines = [(1, 1, 5), (1, 2, 5), (1, 3, 4), (2, 1, 4), (2, 2, 5), (2, 2, 9), (3, 1, 5)]
+    df = spark.createDataFrame(lines, "doc_id long, at int, label int")
+    want = [(4, 5, 3, 2), (4, 9, 1, 1), (5, 5, 1, 1)]
+    assert rows(cooccur.ordered_cooccurrences(df, 3), "entity_one", "entity_two", "frequency", "doc_frequency") == want
+    assert dict(cooccur.ordered_cooccurrences(df, 3).dtypes)["entity_one"] == "int"
+    # documents that go on in the next batch
+    monkeypatch.setattr(sweep, "PAIRS", 1)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [x[0]], "at": [x[1]], "label": [x[2]]}) for x in lines]
+    got = [tuple(r.values()) for b in sweep.ordered_pair_rows()(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got) == [(4, 5, 1, 1), (4, 5, 2, 1), (4, 9, 1, 1), (5, 5, 1, 1)]
+
+
+def test_partitions_follow_the_rows_of_a_table(spark, monkeypatch):
+    from threadloom.plans import corpus
+
+    monkeypatch.setattr(corpus, "PART_ROWS", 500)
+    t = corpus.star_triplets(spark, "/root/testdata/sf0.001")
+    assert t.rdd.getNumPartitions() >= 12  # some 6,000 lines; they were as many as the session's shuffles before
+    assert t.select("doc_id", F.spark_partition_id().alias("p")).distinct().groupBy("doc_id").count().filter("count > 1").isEmpty()

@@ -76,6 +76,20 @@ def document_cooccurrences(docs: DataFrame, extractor: Extractor = capitalized)
     return found.repartition("entity_one", "entity_two").groupBy("entity_one", "entity_two").agg(F.sum("n").alias("frequency"))
 
 
+def ordered_cooccurrences(rows: DataFrame, parts: int) -> DataFrame:
+    """(entity_one, entity_two, frequency, doc_frequency) of the pairs of rows (doc_id, at, label) of one document with different places.
+
+    Labels are whole numbers.  Documents are sorted in each of ``parts`` partitions and
+    paired up as arrays, so their pairs are never held by document; nearly all may
+    be different, so none are summed up before the shuffle beyond a batch.
+    """
+    kind = dict(rows.dtypes)["label"]
+    near = rows.select("doc_id", "at", F.col("label").cast("long").alias("label")).repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+    found = near.mapInArrow(sweep.ordered_pair_rows(), "one long, two long, n long, docs long").repartition(parts, "one", "two")
+    summed = found.groupBy("one", "two").agg(F.sum("n").alias("frequency"), F.sum("docs").alias("doc_frequency"))
+    return summed.select(F.col("one").cast(kind).alias("entity_one"), F.col("two").cast(kind).alias("entity_two"), "frequency", "doc_frequency")
+
+
 def _stats(docs: DataFrame, window: int | None, keys: list[str], extractor: Extractor, boundary: str = tx.BOUNDARY) -> DataFrame:
     base = _sources(docs, extractor, boundary, list(stats.DATES))
     kinds = dict(docs.dtypes)

@@ -176,11 +176,9 @@ def star_entity_stats(spark, d):
 SELECT least(a.p, b.p) AS entity_one, greatest(a.p, b.p) AS entity_two, count(*) AS frequency, count(DISTINCT a.doc_id) AS doc_frequency
 FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.n > a.n GROUP BY ALL""")
 def star_cooccurrences(spark, d):
-    o = c.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", "l_partkey").alias("m"))
-    packed = o.groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    pairs = F.flatten(F.transform("ms", lambda a, i: F.transform(F.filter("ms", lambda b: b["l_linenumber"] > a["l_linenumber"]), lambda b: F.struct(F.least(a["l_partkey"], b["l_partkey"]).alias("entity_one"), F.greatest(a["l_partkey"], b["l_partkey"]).alias("entity_two")))))
-    per_doc = packed.select("doc_id", F.inline(pairs)).groupBy("entity_one", "entity_two", "doc_id").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("entity_one", "entity_two").agg(F.sum("n").alias("frequency"), F.count("*").alias("doc_frequency"))
+    lines = c.table(spark, d, "lineitem")
+    o = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("at"), F.col("l_partkey").alias("label"))
+    return cooccur.ordered_cooccurrences(o, c.parts_for(lines))
 
 
 _ATTR = """cats AS (SELECT doc_id, 'lang' AS name, lang AS value FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents)"""
