@@ -119,3 +119,36 @@ def test_partitions_follow_the_rows_of_a_table(spark, monkeypatch):
     t = corpus.star_triplets(spark, "/root/testdata/sf0.001")
     assert t.rdd.getNumPartitions() >= 12  # some 6,000 lines; they were as many as the session's shuffles before
     assert t.select("doc_id", F.spark_partition_id().alias("p")).distinct().groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def test_runs_of_words(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    lists = [[rng.choice("abcde") * rng.randint(1, 2) for _ in range(n)] for n in (0, 1, 2, 3, 40, 300)] + [None]
+    texts = spark.createDataFrame([(x,) for x in lists], "words array<string>")
+    for n in (1, 2, 3):
+        want = Counter(tuple(x[i : i + n]) for x in lists if x for i in range(len(x) - n + 1))
+        got = extract.word_runs(texts, n).groupBy(*"abc"[:n]).agg(F.sum("n").alias("n"))
+        assert {tuple(r)[:-1]: r["n"] for r in got.collect()} == want
+    threes = spark.createDataFrame([(" ".join(x),) for x in {tuple(x[i : i + 3]) for x in lists if x for i in range(len(x) - 2)}], "phrase string")
+    want = rows(extract.good_phrases(threes, texts, 5, 0.0))
+    assert 0 < len(want) < threes.count() and rows(extract.good_threes(texts, 5, 0.0)) == want
+
+
+def test_words_are_runs_of_letters():
+    texts = ["Ab1c-\u00e9d \u212aelvin \u0130x", "", "a", "A.b", " "]
+    words, sizes = sweep.letter_words(texts)
+    import re
+
+    want = [re.findall("[a-z]+", t.lower()) for t in texts]
+    assert words.to_pylist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    assert sweep.letter_words(["", ""])[1].tolist() == [0, 0]
+
+
+def test_one_text_of_very_many_words(spark):
+    text = " ".join("abcdefghij"[i % 7] + "xyz"[i % 3] for i in range(300_000))
+    began = time.time()
+    assert extract.good_threes(spark.createDataFrame([(text,)], "text string")).count() == 21
+    assert time.time() - began < 30

@@ -113,10 +113,7 @@ good AS (SELECT nb.a, nb.b FROM nb JOIN n x ON x.token = nb.a JOIN n y ON y.toke
 phrases AS (SELECT DISTINCT a, b, c3 FROM b WHERE c3 IS NOT NULL)
 SELECT a || ' ' || b || ' ' || c3 AS phrase FROM phrases SEMI JOIN good USING (a, b)""")
 def bigram_filter(spark, d):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
-    docs = c.spread(c.table(spark, d, "documents"), "doc_id").select(words.alias("words"))
-    threes = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.array_join(F.slice("words", i, 3), " ")))
-    return extract.good_phrases(docs.select(F.explode(threes).alias("phrase")).distinct(), docs)
+    return extract.good_threes(c.documents(spark, d).select("text"))
 
 
 # co-occurrence and statistics
